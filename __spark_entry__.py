@@ -27,7 +27,7 @@ from tastewright.operators import (
     train,
     training_set,
 )
-from tastewright.plans import recommend_for_session, recommend_many
+from tastewright.plans import recommend_for_session, recommend_for_sessions
 from tastewright.schemas import PRESETS
 from tastewright.sources import (
     catalogue_table,
@@ -221,10 +221,13 @@ def recommend_top5_electronics_query(spark, folder):
 
 
 def recommend_many_query(spark, folder):
-    r = ratings_table(spark, folder)
-    new = _captured(spark, folder)
-    model = train(training_set(r, new))
-    return recommend_many(model, r, catalogue_table(spark, folder), new, MOVIES)
+    ranked, _ = recommend_for_sessions(
+        ratings_table(spark, folder),
+        catalogue_table(spark, folder),
+        _captured(spark, folder),
+        MOVIES,
+    )
+    return ranked
 
 
 def format_list_query(spark, folder):

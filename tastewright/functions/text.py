@@ -22,7 +22,7 @@ def to_number(text: Column) -> Column:
 
 def to_int(text: Column) -> Column:
     """Text as INT, NULL where it is no 32-bit whole number."""
-    return F.when(text.rlike(r"^\s*[+-]?[0-9]+\s*$"), text.try_cast("int"))
+    return text.try_cast("int")
 
 
 def required(value: Column, what: str, line: Column) -> Column:

@@ -1,4 +1,4 @@
-from tastewright.operators.candidates import candidates, supported_items
+from tastewright.operators.candidates import candidates, supported_items, unrated
 from tastewright.operators.capture import capture_ratings
 from tastewright.operators.catalogue import list_titles, search_titles, title_map
 from tastewright.operators.ranking import (
@@ -45,4 +45,5 @@ __all__ = [
     "top_scored",
     "train",
     "training_set",
+    "unrated",
 ]

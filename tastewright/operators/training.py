@@ -46,9 +46,16 @@ def training_set(ratings: DataFrame, new: DataFrame) -> DataFrame:
     return ratings.unionByName(new)
 
 
-def choose_solver(ratings: DataFrame, limits: Limits = Limits()) -> tuple[str, int]:
-    """("blocks" or "joins", number of blocks), from the size of the data alone."""
-    total = ratings.count()
+def choose_solver(
+    ratings: DataFrame, limits: Limits = Limits(), total: int | None = None
+) -> tuple[str, int]:
+    """("blocks" or "joins", number of blocks), from the size of the data alone.
+
+    ``total`` saves counting the ratings where their number is known. The
+    hottest id is looked for only if the whole is too much for one id.
+    """
+    if total is None:
+        total = ratings.count()
     blocks = max(limits.min_blocks, math.ceil(total / limits.per_block))
     if blocks > limits.max_blocks:
         return "joins", 0
@@ -69,6 +76,7 @@ def train(
     solver: str | None = None,
     blocks: int | None = None,
     limits: Limits = Limits(),
+    total: int | None = None,
 ) -> FactorModel:
     """Fit ``rating ~ user . item``, the penalty weighted by rating counts.
 
@@ -77,7 +85,7 @@ def train(
     ``seconds`` is the wall time of the fit.
     """
     if solver is None:
-        solver, chosen = choose_solver(ratings, limits)
+        solver, chosen = choose_solver(ratings, limits, total)
         blocks = blocks or chosen
     use_checkpoint_folder(ratings.sparkSession)
     started = perf_counter()
@@ -114,10 +122,12 @@ def fit_residuals(
     """
     users = model.user_factors.select(F.col("id").alias("user_id"), F.col("features").alias("w"))
     items = model.item_factors.select(F.col("id").alias("item_id"), F.col("features").alias("v"))
-    error = (dot(F.col("v"), F.col("w")).cast("double") - F.col("rating")).alias("error")
+    error = (dot("v", "w", model.rank).cast("double") - F.col("rating")).alias("error")
+    # The join just before the sums is on the other id, so that adaptive
+    # execution may split a hot id in either join.
     sums = (
-        ratings.join(items, "item_id")
-        .join(users, "user_id")
+        ratings.join(users, "user_id")
+        .join(items, "item_id")
         .select("user_id", "v", error)
         .groupBy("user_id")
         .agg(

@@ -2,7 +2,14 @@ from tastewright.plans.recommendation import (
     RatingSession,
     recommend,
     recommend_for_session,
+    recommend_for_sessions,
     recommend_many,
 )
 
-__all__ = ["RatingSession", "recommend", "recommend_for_session", "recommend_many"]
+__all__ = [
+    "RatingSession",
+    "recommend",
+    "recommend_for_session",
+    "recommend_for_sessions",
+    "recommend_many",
+]

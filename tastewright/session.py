@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Adaptive execution splits skewed join partitions, merges small shuffle
 # partitions and switches to a broadcast join once a side is seen to be small.
@@ -42,3 +43,21 @@ def use_checkpoint_folder(spark: SparkSession) -> None:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="tastewright-checkpoint-")
     context.setCheckpointDir(folder)
+
+
+def written_table(rows: DataFrame) -> tuple[DataFrame, str]:
+    """``rows`` as a parquet table in the checkpoint folder, and its path.
+
+    Like a checkpoint, but compressed, and read back by column.
+    """
+    spark = rows.sparkSession
+    use_checkpoint_folder(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid4()}"
+    rows.write.parquet(path)
+    return spark.read.parquet(path), path
+
+
+def drop_written_table(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)

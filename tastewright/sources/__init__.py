@@ -1,4 +1,5 @@
 from tastewright.sources.records import (
+    local_table,
     new_ratings,
     parse_items,
     parse_ratings,
@@ -9,6 +10,7 @@ from tastewright.sources.tables import catalogue_table, ratings_table, submissio
 
 __all__ = [
     "catalogue_table",
+    "local_table",
     "new_ratings",
     "parse_items",
     "parse_ratings",

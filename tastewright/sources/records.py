@@ -8,8 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tastewright.functions import csv_fields, naive_fields, required, to_int, to_number
 from tastewright.schemas import ITEM, RATING
@@ -90,6 +93,13 @@ def read_items(
     return parse_items(lines, dialect, keep=("line_order",))
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    """Rows held by the driver; handed over as Arrow, they have a known size."""
+    columns = zip(*rows) if rows else [()] * len(schema)
+    arrays = [pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, schema)]
+    return spark.createDataFrame(pa.table(arrays, schema.names), schema)
+
+
 def new_ratings(spark: SparkSession, rows: Iterable[tuple[int, int, float]] = ()) -> DataFrame:
     """Ratings typed in by one person, held in memory; may be empty."""
-    return spark.createDataFrame([(int(u), int(i), float(r)) for u, i, r in rows], RATING)
+    return local_table(spark, [(int(u), int(i), float(r)) for u, i, r in rows], RATING)

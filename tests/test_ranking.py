@@ -1,0 +1,237 @@
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tastewright.operators import (
+    FactorModel,
+    candidates,
+    format_list,
+    item_stats,
+    preview,
+    score,
+    top_items,
+    top_scored,
+)
+from tastewright.plans import recommend, recommend_for_session, recommend_for_sessions, recommend_many
+from tastewright.schemas import ITEM, RATING
+from tastewright.sources import new_ratings
+
+STATS = "item_id int, n_ratings long, avg_rating double"
+FACTORS = "id int, features array<float>"
+
+
+def make_model(spark, users, items):
+    return FactorModel(
+        spark.createDataFrame(list(users.items()), FACTORS),
+        spark.createDataFrame(list(items.items()), FACTORS),
+        rank=len(next(iter(items.values()))),
+        seconds=0.0,
+        solver="given",
+    )
+
+
+def vectors(n, rank, seed, first=0):
+    generator = np.random.default_rng(seed)
+    # Few distinct values, so that equal predictions occur.
+    return {first + i: [float(x) for x in generator.integers(-2, 3, rank)] for i in range(n)}
+
+
+def titles_of(ranked):
+    return [(r["rank"], r.item_id, r.title) for r in ranked.orderBy("user_id", "rank").collect()]
+
+
+def brute_force(user, model, catalogue, counts, seen, min_ratings, k):
+    """Score every candidate row, join every catalogue row, filter, sort, cut."""
+    users, items = model
+    rows = []
+    if user in users:
+        for item, _ in catalogue:
+            if item in seen or item not in items or counts.get(item, 0) < min_ratings:
+                continue
+            prediction = float(np.float32(np.dot(users[user], items[item])))
+            rows += [(-prediction, item, title) for other, title in catalogue if other == item]
+    return [(n + 1, item, title) for n, (_, item, title) in enumerate(sorted(rows)[:k])]
+
+
+@pytest.fixture(scope="module")
+def world():
+    random.seed(3)
+    catalogue = [(i, f"title {i % 9}") for i in range(40)]
+    catalogue += [(5, "other five"), (5, "title 5"), (6, "title 6"), (77, "cold")]
+    counts = {i: 20 + i % 10 for i in range(38)}
+    seen = {0: {1, 5}, 1: set(range(0, 40, 2)), 2: {39}, 3: {2}, 9: {1}}
+    users, items = vectors(4, 3, seed=1), vectors(40, 3, seed=2)
+    return catalogue, counts, seen, users, items
+
+
+def frames(spark, world):
+    catalogue, counts, seen, users, items = world
+    return (
+        make_model(spark, users, items),
+        spark.createDataFrame([(i, n, 1.0) for i, n in counts.items()], STATS),
+        spark.createDataFrame(catalogue, ITEM),
+        new_ratings(spark, [(u, i, 1.0) for u, ids in seen.items() for i in ids]),
+    )
+
+
+@pytest.mark.parametrize("k", [1, 5, 500])
+@pytest.mark.parametrize("min_ratings", [1, 25])
+@pytest.mark.parametrize("user", [0, 1, 9])
+def test_recommend_equals_brute_force(spark, world, user, min_ratings, k):
+    model, stats, items, new = frames(spark, world)
+    catalogue, counts, seen, users, vectors_ = world
+    ranked = recommend(model, stats, items, new, min_ratings, k, user_id=user)
+    assert ranked.columns == ["user_id", "rank", "item_id", "title", "prediction", "n_ratings"]
+    expected = brute_force(user, (users, vectors_), catalogue, counts, seen[user], min_ratings, k)
+    assert titles_of(ranked) == expected
+
+
+@pytest.mark.parametrize("k", [1, 5, 500])
+def test_recommend_many_equals_brute_force(spark, world, k):
+    model, stats, items, new = frames(spark, world)
+    catalogue, counts, seen, users, vectors_ = world
+    ranked = recommend_many(model, stats, items, new, 25, k)
+    for user in seen:
+        expected = brute_force(user, (users, vectors_), catalogue, counts, seen[user], 25, k)
+        assert titles_of(ranked.where(F.col("user_id") == user)) == expected
+
+
+def test_unique_items(spark, world):
+    model, stats, items, new = frames(spark, world)
+    for ranked in (
+        recommend(model, stats, items, new, 1, 100, user_id=2, unique_items=True),
+        recommend_many(model, stats, items, new, 1, 100, unique_items=True).where("user_id = 2"),
+    ):
+        rows = titles_of(ranked)
+        assert len({item for _, item, _ in rows}) == len(rows) == 38
+        assert (5, "other five") in [(item, title) for _, item, title in rows]
+
+
+@pytest.mark.parametrize("size", [(1, 1), (3, 5), (1000, 1000)])
+@pytest.mark.parametrize("k", [1, 4, 60])
+def test_top_items_by_blocks(spark, k, size):
+    users, items = vectors(11, 2, seed=5), vectors(50, 2, seed=6)
+    random.seed(2)
+    seen = [(u, random.randrange(60)) for u in range(9) for _ in range(20)]
+    asked = [(u,) for u in range(13)] * 2
+    best = top_items(
+        make_model(spark, users, items),
+        spark.createDataFrame(asked, "user_id int"),
+        spark.createDataFrame([(i,) for i in range(55)], "item_id int"),
+        spark.createDataFrame(seen, "user_id int, item_id int"),
+        k,
+        *size,
+    )
+    expected = []
+    for u in users:
+        scores = sorted((-float(np.dot(users[u], items[i])), i) for i in items if (u, i) not in seen)
+        expected += [(u, i, -s) for s, i in scores[:k]]
+    assert sorted(tuple(r) for r in best.collect()) == sorted(expected)
+
+
+def test_equal_scores_do_not_flood(spark):
+    """All predictions equal: still k rows per user, the smallest ids."""
+    items = {i: [0.0, 0.0] for i in range(200)}
+    best = top_items(
+        make_model(spark, {1: [1.0, 1.0]}, items),
+        spark.createDataFrame([(1,)], "user_id int"),
+        spark.createDataFrame([(i,) for i in range(200)], "item_id int"),
+        spark.createDataFrame([(1, 0)], "user_id int, item_id int"),
+        3,
+    )
+    assert sorted(r.item_id for r in best.collect()) == [1, 2, 3]
+
+
+def test_candidates_are_a_bag(spark):
+    items = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (3, "c")], ITEM)
+    rated = new_ratings(spark, [(0, 2, 1.0), (0, 2, 2.0), (5, 3, 1.0)])
+    assert sorted(tuple(r) for r in candidates(items, rated).collect()) == [(0, 1), (0, 1), (0, 3)]
+    assert sorted(tuple(r) for r in candidates(items, rated, 5).collect()) == [(5, 1), (5, 1), (5, 2)]
+
+
+def test_support_bound(spark):
+    base = [(u, 24, 3.0) for u in range(24)] + [(u, 25, 3.0) for u in range(25)]
+    base += [(u, 26, 3.0) for u in range(26)]
+    ratings = spark.createDataFrame(base, RATING)
+    items = spark.createDataFrame([(i, f"t{i}") for i in (24, 25, 26)], ITEM)
+    scored = spark.createDataFrame([(0, i, 1.0) for i in (26, 25, 24)], "user_id int, item_id int, prediction float")
+    ranked = top_scored(scored, items, item_stats(ratings), 25, 5)
+    assert titles_of(ranked) == [(1, 25, "t25"), (2, 26, "t26")]
+    # A new rating by the session user does not add support.
+    new = new_ratings(spark, [(0, 24, 5.0)])
+    ranked, _ = recommend_for_session(ratings, items, new, 25)
+    assert {item for _, item, _ in titles_of(ranked)} == {25, 26}
+
+
+def test_scored_pairs_as_a_bag(spark):
+    """Two candidate copies times two catalogue rows give four list rows."""
+    items = spark.createDataFrame([(1, "x"), (1, "y"), (2, "z")], ITEM)
+    stats = spark.createDataFrame([(1, 1, 1.0), (2, 1, 1.0)], STATS)
+    scored = spark.createDataFrame([(0, 1, 2.0), (0, 1, 2.0), (0, 2, 1.0), (0, 8, 9.0)],
+                                   "user_id int, item_id int, prediction float")
+    assert titles_of(top_scored(scored, items, stats, 1, 10)) == [
+        (1, 1, "x"), (2, 1, "x"), (3, 1, "y"), (4, 1, "y"), (5, 2, "z"),
+    ]
+    assert len(titles_of(top_scored(scored, items, stats, 1, 3))) == 3
+
+
+def test_one_item_fills_a_third_of_the_catalogue(spark):
+    """Its rows are counted, not multiplied out."""
+    catalogue = [(1, "same")] * 20000 + [(i, f"t{i}") for i in range(2, 50)]
+    items = spark.createDataFrame(catalogue, ITEM)
+    stats = spark.createDataFrame([(i, 1, 1.0) for i in range(1, 50)], STATS)
+    model = make_model(spark, {0: [1.0]}, {i: [1.0 / i] for i in range(1, 50)})
+    ranked = recommend(model, stats, items, new_ratings(spark, [(0, 2, 1.0)]), 1, 7)
+    assert titles_of(ranked) == [(n, 1, "same") for n in range(1, 8)]
+
+
+def test_format_list(spark):
+    ranked = spark.createDataFrame(
+        [(0, 2, "b"), (0, 1, "c"), (0, 10, "a"), (4, 1, "z")], "user_id int, rank long, title string"
+    )
+    texts = dict(tuple(r) for r in format_list(ranked).collect())
+    assert texts == {
+        0: "Recommended For You :\n\n* c\n* b\n* a",
+        4: "Recommended For You :\n\n* z",
+    }
+    people = spark.createDataFrame([(0,), (7,)], "user_id int")
+    texts = dict(tuple(r) for r in format_list(ranked, people).collect())
+    assert texts[7] == "Recommended For You :\n\n* " and set(texts) == {0, 7}
+
+
+def test_preview(spark):
+    assert preview(spark.range(50)).count() == 10
+    assert preview(spark.range(5), 3).count() == 3
+
+
+@pytest.fixture(scope="module")
+def small(spark):
+    random.seed(9)
+    ratings = [(random.randrange(1, 40), random.randrange(1, 30), float(random.randrange(1, 6)))
+               for _ in range(1200)]
+    items = [(i, f"title {i}") for i in range(1, 33)]
+    return spark.createDataFrame(ratings, RATING), spark.createDataFrame(items, ITEM)
+
+
+def test_no_new_ratings_no_list(spark, small):
+    ranked, _ = recommend_for_session(*small, new_ratings(spark), 1)
+    assert ranked.count() == 0
+
+
+def test_pipeline_properties(spark, small):
+    ratings, items = small
+    new = new_ratings(spark, [(0, 3, 5.0), (0, 4, 1.0), (0, 999, 5.0), (0, 31, 2.0), (2, 5, 3.0)])
+    stats = {r.item_id: r.n_ratings for r in item_stats(ratings).collect()}
+    single, model = recommend_for_session(ratings, items, new, 25, k=12)
+    many, _ = recommend_for_sessions(ratings, items, new, 25, k=12)
+    rows = [tuple(r) for r in single.orderBy("rank").collect()]
+    assert rows == [tuple(r) for r in many.where("user_id = 0").orderBy("rank").collect()]
+    assert [r[1] for r in rows] == list(range(1, len(rows) + 1)) and len(rows) <= 12
+    assert {3, 4, 999, 31, 32}.isdisjoint(r[2] for r in rows)  # rated, or without base ratings
+    assert all(r[5] == stats[r[2]] >= 25 for r in rows)
+    # Filtering after scoring every candidate gives the same list.
+    late = top_scored(score(model, candidates(items, new)), items, item_stats(ratings), 25, 12)
+    assert [tuple(r) for r in late.orderBy("rank").collect()] == rows
+    assert {r.user_id for r in many.select("user_id").distinct().collect()} == {0, 2}

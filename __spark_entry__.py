@@ -20,6 +20,7 @@ from tastewright.operators import (
     preview,
     rating_counts,
     score,
+    search_many,
     search_titles,
     title_map,
     top_items,
@@ -139,6 +140,13 @@ def search_titles_query(spark, folder):
     return search_titles(catalogue_table(spark, folder), "RED")
 
 
+def search_many_query(spark, folder):
+    """Search for the first word of every title, and for every brand."""
+    part = spark.read.parquet(f"{folder}/part.parquet")
+    typed = part.select(F.upper(F.split("p_name", " ")[0]).alias("prefix"))
+    return search_many(catalogue_table(spark, folder), typed.union(part.select("p_brand")))
+
+
 def capture_ratings_query(spark, folder):
     return _captured(spark, folder)
 
@@ -257,6 +265,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "title_map": title_map_query,
         "list_titles": list_titles_query,
         "search_titles": search_titles_query,
+        "search_many": search_many_query,
         "capture_ratings": capture_ratings_query,
         "candidates": candidates_query,
         "support_topk": support_topk_query,
@@ -331,6 +340,12 @@ def oracle_sql() -> dict[str, str]:
         "search_titles": f"""WITH {I}
             SELECT row_number() OVER (ORDER BY lower(title), item_id) AS position, title, item_id
             FROM i WHERE starts_with(lower(title), 'red')""",
+        "search_many": f"""WITH {I},
+            typed AS (SELECT upper(split_part(p_name, ' ', 1)) AS prefix FROM part
+                      UNION SELECT p_brand FROM part)
+            SELECT prefix, row_number() OVER (PARTITION BY prefix ORDER BY lower(title), item_id) AS position,
+                   title, item_id
+            FROM typed JOIN i ON starts_with(lower(title), lower(prefix))""",
         "capture_ratings": f"""WITH {I}, {TM}, {SUB}, {numbers}
             SELECT user_id, item_id, number AS rating FROM numbers JOIN tm ON numbers.title = tm.title
             WHERE numbers.title <> '' AND number > 0 AND number < 6""",

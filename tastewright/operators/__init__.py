@@ -1,6 +1,6 @@
 from tastewright.operators.candidates import candidates, supported_items, unrated
 from tastewright.operators.capture import capture_ratings
-from tastewright.operators.catalogue import list_titles, search_titles, title_map
+from tastewright.operators.catalogue import list_titles, search_many, search_titles, title_map
 from tastewright.operators.ranking import (
     count_titles,
     format_list,
@@ -38,6 +38,7 @@ __all__ = [
     "rating_counts",
     "score",
     "score_items",
+    "search_many",
     "search_titles",
     "supported_items",
     "title_map",

@@ -21,17 +21,19 @@ from tastewright.schemas import ITEM, RATING
 DIALECTS = {"csv": csv_fields, "naive_split": naive_fields}
 
 
-def _fields(line: Column, count: int, dialect: str) -> list[Column]:
+def _fields(lines: DataFrame, count: int, dialect: str) -> tuple[DataFrame, list[Column]]:
+    """The lines with their fields, and the first ``count`` fields."""
     if dialect not in DIALECTS:
         raise ValueError(f"dialect must be one of {sorted(DIALECTS)}, not {dialect!r}")
-    return DIALECTS[dialect](line, count)
+    cut = lines.withColumn("fields", DIALECTS[dialect](F.col("value"), count))
+    return cut, [F.get("fields", F.lit(i)) for i in range(count)]
 
 
 def parse_ratings(lines: DataFrame, dialect: str = "csv") -> DataFrame:
     """Lines in column ``value`` to (user_id, item_id, rating)."""
+    cut, (user, item, rating) = _fields(lines, 3, dialect)
     line = F.col("value")
-    user, item, rating = _fields(line, 3, dialect)
-    return lines.select(
+    return cut.select(
         required(to_int(user), "user id", line).alias("user_id"),
         required(to_int(item), "item id", line).alias("item_id"),
         required(to_number(rating), "rating", line).alias("rating"),
@@ -40,11 +42,11 @@ def parse_ratings(lines: DataFrame, dialect: str = "csv") -> DataFrame:
 
 def parse_items(lines: DataFrame, dialect: str = "csv", keep: tuple[str, ...] = ()) -> DataFrame:
     """Lines in column ``value`` to (item_id, title) and the columns in ``keep``."""
+    cut, (item, title) = _fields(lines, 2, dialect)
     line = F.col("value")
-    item, title = _fields(line, 2, dialect)
-    if dialect == "csv":  # an empty field is read as NULL; a missing one has no comma before it
-        title = F.when(F.contains(line, F.lit(",")), F.coalesce(title, F.lit("")))
-    return lines.select(
+    # The CSV parser gives NULL for an empty field; a missing one has no comma before it.
+    title = F.when(F.contains(line, F.lit(",")), F.coalesce(title, F.lit("")))
+    return cut.select(
         required(to_int(item), "item id", line).alias("item_id"),
         required(title, "title", line).alias("title"),
         *keep,

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tastewright.operators import list_titles, search_titles
+from tastewright.operators import list_titles, search_many, search_titles
 from tastewright.schemas import ITEM
 
 
@@ -45,3 +45,15 @@ def test_search(spark, prefix):
 
 def test_empty_catalogue(spark):
     assert listed(list_titles(spark.createDataFrame([], ITEM))) == []
+
+
+def test_search_many(spark):
+    items = [(1, "red ring"), (2, "Redwood"), (3, "blue"), (4, "ÄB one"), (5, "aRED"), (6, "r"), (2, "")]
+    texts = ["red", "RED", "", "äb", "none", "r", "red ring and more", "red"]
+    result = search_many(
+        spark.createDataFrame(items, ITEM), spark.createDataFrame([(t,) for t in texts], "prefix string")
+    )
+    for text in texts:
+        hits = [r for r in items if r[1].lower().startswith(text.lower())]
+        found = [tuple(r)[1:] for r in result.where(result.prefix == text).orderBy("position").collect()]
+        assert found == expected(hits)

@@ -2,6 +2,7 @@ from tastewright.operators.candidates import candidates, supported_items, unrate
 from tastewright.operators.capture import capture_ratings
 from tastewright.operators.catalogue import list_titles, search_many, search_titles, title_map
 from tastewright.operators.ranking import (
+    add_titles,
     count_titles,
     format_list,
     number_rows,
@@ -23,6 +24,7 @@ from tastewright.operators.training import (
 __all__ = [
     "FactorModel",
     "Limits",
+    "add_titles",
     "candidates",
     "capture_ratings",
     "choose_solver",

@@ -1,6 +1,7 @@
 from tastewright.operators.candidates import candidates, supported_items, unrated
 from tastewright.operators.capture import capture_ratings
 from tastewright.operators.catalogue import list_titles, search_many, search_titles, title_map
+from tastewright.operators.lookup import lookup
 from tastewright.operators.ranking import (
     add_titles,
     count_titles,
@@ -34,6 +35,7 @@ __all__ = [
     "format_list",
     "item_stats",
     "list_titles",
+    "lookup",
     "number_rows",
     "preview",
     "rank_titles",

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tastewright.functions import dot
 from tastewright.operators.join_training import train_by_joins
+from tastewright.operators.lookup import lookup
 from tastewright.schemas import ITERATIONS, RANK, REGULARIZATION, SEED
 from tastewright.session import use_checkpoint_folder
 
@@ -126,8 +127,7 @@ def fit_residuals(
     # The join just before the sums is on the other id, so that adaptive
     # execution may split a hot id in either join.
     sums = (
-        ratings.join(users, "user_id")
-        .join(items, "item_id")
+        lookup(lookup(ratings, users, "user_id"), items, "item_id")
         .select("user_id", "v", error)
         .groupBy("user_id")
         .agg(

@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from tastewright.schemas import LIST_HEADING, LIST_SEPARATOR
 
 # What counts as a written number. Spark's own cast also takes a type suffix,
-# as in "4d" or "4f", which is no number here.
-NUMBER = (
-    r"(?i)^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?\s*$"
-    r"|^\s*[+-]?(nan|inf|infinity)\s*$"
-)
+# as in "4d" or "4f", which is no number here, and takes no sign before "nan".
+NUMBER = r"(?i)^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?\s*$|^\s*[+-]?inf(inity)?\s*$"
+NOT_A_NUMBER = r"(?i)^\s*[+-]?nan\s*$"
 
 
 def to_number(text: Column) -> Column:
-    """Text as DOUBLE, NULL where it is not a number."""
-    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+    """Text as DOUBLE, NULL where it is not written as one."""
+    return F.when(text.rlike(NUMBER), text.try_cast("double")).when(
+        text.rlike(NOT_A_NUMBER), F.lit(float("nan"))
+    )
 
 
 def to_int(text: Column) -> Column:

@@ -14,6 +14,7 @@ from tastewright.operators import (
     top_items,
     top_scored,
 )
+from tastewright.operators import scoring
 from tastewright.plans import recommend, recommend_for_session, recommend_for_sessions, recommend_many
 from tastewright.schemas import ITEM, RATING
 from tastewright.sources import new_ratings
@@ -109,9 +110,10 @@ def test_unique_items(spark, world):
         assert (5, "other five") in [(item, title) for _, item, title in rows]
 
 
-@pytest.mark.parametrize("size", [(1, 1), (3, 5), (1000, 1000)])
+@pytest.mark.parametrize("size,at_once", [((1, 1), 1), ((3, 5), 100), ((1000, 1000), 100), ((1000, 1000), 10**6)])
 @pytest.mark.parametrize("k", [1, 4, 60])
-def test_top_items_by_blocks(spark, k, size):
+def test_top_items_by_blocks(spark, monkeypatch, k, size, at_once):
+    monkeypatch.setattr(scoring, "SCORES_AT_ONCE", at_once)
     users, items = vectors(11, 2, seed=5), vectors(50, 2, seed=6)
     random.seed(2)
     seen = [(u, random.randrange(60)) for u in range(9) for _ in range(20)]

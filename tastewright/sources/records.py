@@ -12,7 +12,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
 from tastewright.functions import csv_fields, naive_fields, required, to_int, to_number
 from tastewright.schemas import ITEM, RATING
@@ -20,6 +19,8 @@ from tastewright.schemas import ITEM, RATING
 # "csv" honours double quotes, "naive_split" cuts at every comma.
 DIALECTS = {"csv": csv_fields, "naive_split": naive_fields}
 
+ARROW_TYPES = {"integer": pa.int32(), "double": pa.float64(), "string": pa.string()}
+
 
 def _fields(lines: DataFrame, count: int, dialect: str) -> tuple[DataFrame, list[Column]]:
     """The lines with their fields, and the first ``count`` fields."""
@@ -98,7 +99,7 @@ def read_items(
 def local_table(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
     """Rows held by the driver; handed over as Arrow, they have a known size."""
     columns = zip(*rows) if rows else [()] * len(schema)
-    arrays = [pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, schema)]
+    arrays = [pa.array(c, ARROW_TYPES[f.dataType.typeName()]) for c, f in zip(columns, schema)]
     return spark.createDataFrame(pa.table(arrays, schema.names), schema)
 
 

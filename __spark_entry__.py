@@ -175,10 +175,12 @@ def score_coverage_query(spark, folder):
     r = ratings_table(spark, folder)
     new = new_ratings(spark, SESSION)
     model = train(training_set(r, new))
-    pairs = r.select("user_id", "item_id")
-    strangers = pairs.select(-F.col("user_id") - 1, "item_id")
-    unknown = pairs.select("user_id", -F.col("item_id") - 1)
-    asked = pairs.union(strangers).union(unknown).union(new.select("user_id", "item_id"))
+    pairs = r.selectExpr(
+        """inline(array(struct(user_id, item_id),
+                        named_struct('user_id', -user_id - 1, 'item_id', item_id),
+                        named_struct('user_id', user_id, 'item_id', -item_id - 1)))"""
+    )
+    asked = pairs.union(new.select("user_id", "item_id"))
     return score(model, asked).select("user_id", "item_id")
 
 

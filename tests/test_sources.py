@@ -26,7 +26,7 @@ def test_rating_lines(spark, dialect):
 @pytest.mark.parametrize("ansi", ["true", "false"])
 @pytest.mark.parametrize("dialect", DIALECTS)
 @pytest.mark.parametrize("line", [
-    "userId,movieId,rating",
+    "user,item,rating",
     "1,2",
     "",
     "3000000000,1,1",

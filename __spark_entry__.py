@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +40,13 @@ from tastewright.sources import (
     submissions_table,
 )
 
+# Queries on training text come with a subpackage that may be absent.
+_llm = find_spec("tastewright.llm")
+if _llm is not None and _llm.origin:
+    from tastewright.llm import queries as text_queries
+else:
+    text_queries = None
+
 # What the person asking rated in this session.
 SESSION = [(0, 3, 5.0), (0, 7, 1.0), (0, 11, 4.0)]
 MOVIES = PRESETS["movies"].min_ratings
@@ -282,6 +290,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "recommend_many": recommend_many_query,
         "format_list": format_list_query,
         "preview": preview_query,
+        **(text_queries.queries() if text_queries else {}),
     }
 
 
@@ -385,4 +394,5 @@ def oracle_sql() -> dict[str, str]:
             SELECT user_id, 'Recommended For You :' || chr(10) || chr(10) || '* '
                    || string_agg(title, chr(10) || '* ' ORDER BY rank) AS text
             FROM topk GROUP BY user_id""",
+        **(text_queries.oracle_sql() if text_queries else {}),
     }

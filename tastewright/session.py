@@ -45,15 +45,16 @@ def use_checkpoint_folder(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
-def written_table(rows: DataFrame) -> tuple[DataFrame, str]:
+def written_table(rows: DataFrame, **options) -> tuple[DataFrame, str]:
     """``rows`` as a parquet table in the checkpoint folder, and its path.
 
-    Like a checkpoint, but compressed, and read back by column.
+    Like a checkpoint, but compressed, and read back by column. ``options`` go
+    to the writer.
     """
     spark = rows.sparkSession
     use_checkpoint_folder(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid4()}"
-    rows.write.parquet(path)
+    rows.write.options(**options).parquet(path)
     return spark.read.parquet(path), path
 
 

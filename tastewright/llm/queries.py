@@ -2,34 +2,70 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from tastewright.llm import lines, secrets, simhash
+from tastewright.llm import (
+    decontaminate, language, lines, quality, secrets, sentencepiece, simhash, token_file, toxicity)
 
 
-def _documents(spark, folder):
-    return spark.read.parquet(f"{folder}/documents.parquet")
+def _table(spark, folder, name="documents"):
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def op1_language(spark, folder):
+    documents = _table(spark, folder)
+    return language.identify(documents, language.train(documents))
+
+
+def op2_quality(spark, folder):
+    documents = _table(spark, folder)
+    return quality.judge(documents, quality.train(documents, _table(spark, folder, "labels")))
 
 
 def op3_simhash(spark, folder):
-    return simhash.near_groups(_documents(spark, folder))
+    return simhash.near_groups(_table(spark, folder))
+
+
+def op4_decontaminate(spark, folder):
+    return decontaminate.leaks(_table(spark, folder), _table(spark, folder, "benchmark"))
+
+
+def op5_sentencepiece(spark, folder):
+    return sentencepiece.encode_documents(_table(spark, folder), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op6_token_file(spark, folder):
+    files = token_file.write_token_files(_table(spark, folder), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_file.read_token_files(files)
 
 
 def op7_line_dedup(spark, folder):
-    kept = lines.dedup_lines(_documents(spark, folder))
+    kept = lines.dedup_lines(_table(spark, folder))
     return kept.select(
         F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped",
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op8_toxicity(spark, folder):
+    documents = _table(spark, folder)
+    return toxicity.score_documents(documents, toxicity.train(documents, _table(spark, folder, "labels")))
+
+
 def op9_secrets(spark, folder):
-    return secrets.secret_spans(_documents(spark, folder))
+    return secrets.secret_spans(_table(spark, folder))
 
 
 def queries():
     return {
+        "op1_language": op1_language,
+        "op2_quality": op2_quality,
         "op3_simhash": op3_simhash,
+        "op4_decontaminate": op4_decontaminate,
+        "op5_sentencepiece": op5_sentencepiece,
+        "op6_token_file": op6_token_file,
         "op7_line_dedup": op7_line_dedup,
+        "op8_toxicity": op8_toxicity,
         "op9_secrets": op9_secrets,
     }
 

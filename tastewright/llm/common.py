@@ -36,6 +36,21 @@ def stored(rows: DataFrame) -> DataFrame:
     return rows.checkpoint()
 
 
+def stored_by(rows: DataFrame, count: int, column: str) -> DataFrame:
+    """``rows`` stored hashed by ``column``; later joins on it leave them where they are.
+
+    A stored frame keeps its partitioning only if adaptive execution did not
+    make it, so that is off while the rows are written.
+    """
+    conf = rows.sparkSession.conf
+    before = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return stored(rows.repartition(count, column))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", before)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``size`` bytes in ``column``, in order."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

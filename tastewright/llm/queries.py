@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from tastewright.llm import (
-    decontaminate, language, lines, quality, secrets, sentencepiece, simhash, token_file, toxicity)
+    decontaminate, language, lines, quality, secrets, sentencepiece, simhash, suffixes, token_file, toxicity)
 
 
 def _table(spark, folder, name="documents"):
@@ -56,6 +56,10 @@ def op9_secrets(spark, folder):
     return secrets.secret_spans(_table(spark, folder))
 
 
+def op10_suffix_dedup(spark, folder):
+    return suffixes.remove_repeats(_table(spark, folder))
+
+
 def queries():
     return {
         "op1_language": op1_language,
@@ -67,6 +71,7 @@ def queries():
         "op7_line_dedup": op7_line_dedup,
         "op8_toxicity": op8_toxicity,
         "op9_secrets": op9_secrets,
+        "op10_suffix_dedup": op10_suffix_dedup,
     }
 
 

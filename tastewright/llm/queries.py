@@ -60,6 +60,12 @@ def op10_suffix_dedup(spark, folder):
     return suffixes.remove_repeats(_table(spark, folder))
 
 
+def pipeline(spark, folder):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
+
+
 def queries():
     return {
         "op1_language": op1_language,
@@ -72,6 +78,7 @@ def queries():
         "op8_toxicity": op8_toxicity,
         "op9_secrets": op9_secrets,
         "op10_suffix_dedup": op10_suffix_dedup,
+        "pipeline": pipeline,
     }
 
 

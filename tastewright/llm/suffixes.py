@@ -9,10 +9,13 @@ share. Starts in a row with one anchor are a *tile*, a suffix with its string.
 1. Tiles are range-partitioned by the hash of their leading bytes and of their
    whole string, at splitters drawn from a sample. A bucket sorts its tiles by
    several keys and answers each pack of documents: repeated (the same tile in a
-   smaller document), plain (no other tile with these leading bytes), or open.
+   smaller document), plain (no other tile shares what its starts need), or open.
    A tile whose leading bytes stand at a splitter is open, as its bucket cannot
    see what is across the boundary.
-2. Open tiles, at the edges of repeats, send the string of each start alone.
+   A repeated string reaches 17 bytes beyond the anchor's 16 on one side at
+   least, so a tile also carries a byte of hash for either side, and only starts
+   on a side that another tile shares are open.
+2. Open starts, at the edges of repeats, send their strings alone.
 
 Packs drop their own repeats before they send, so a string that all documents
 share costs each pack one entry. Entries of packs travel as packed arrays.
@@ -42,7 +45,8 @@ PACK_BYTES = 4 << 20
 BLOCK = 1 << 21  # starts hashed at a time
 BUCKETS_PER_PARTITION = 4
 SAMPLE_PACKS, SAMPLE_TILES = 24, 4000
-PLAIN, REPEATED, OPEN = 0, 1, 2
+SIDE = (SPAN - GRAM) // 2
+PLAIN, REPEATED, OPEN_LEFT, OPEN_RIGHT = 0, 1, 2, 4
 PLACE = np.uint64((1 << 24) - 1)
 A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -71,7 +75,7 @@ class Tiles:
 
     def __init__(self, data: np.ndarray, bounds: np.ndarray, doc_ids: np.ndarray, usable: np.ndarray):
         self.data = data
-        lows, highs, heads, bodies, owners = [], [], [], [], []
+        lows, highs, anchors, heads, bodies, owners = [], [], [], [], [], []
         good = np.flatnonzero(usable & (np.diff(bounds) >= SPAN))
         # Runs of starts, cut so that a block stays within memory.
         first = bounds[good]
@@ -96,20 +100,38 @@ class Tiles:
                            >> np.uint64(32)).astype(np.uint32))
             owners.append(np.repeat(whose, size)[new])
             lows.append(lo + base)
+            anchors.append(q + base)
             highs.append(hi + base)
         whole = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-        self.low, self.high = whole(lows, np.int64), whole(highs, np.int64)
+        self.low, self.high, self.anchor = (whole(x, np.int64) for x in (lows, highs, anchors))
         self.doc = doc_ids[whole(owners, np.int64)] if len(doc_ids) else np.zeros(0, np.int64)
-        self.entries = Entries(whole(heads, np.uint64), whole(bodies, np.uint32), self.doc)
-
-    def starts_of(self, tiles: np.ndarray):
-        """Every start of some tiles, and the entries of their strings."""
+        left = self._side(self.anchor - SIDE, self.anchor - self.low >= SIDE)
+        right = self._side(self.anchor + GRAM, self.anchor - self.high <= SIDE)
+        self.entries = Entries(whole(heads, np.uint64), whole(bodies, np.uint32), self.doc, left, right)
+
+    def _side(self, place: np.ndarray, within: np.ndarray) -> np.ndarray:
+        """One byte of hash, from 1 on, of the bytes beside the anchor; 0 where no start needs them."""
+        out = np.zeros(len(place), np.uint8)
+        at = place[within]
+        if at.size:
+            word = np.ndarray((len(self.data) - 7,), "<u8", self.data, strides=(1,))
+            value = _joined(word[at], word[at + 8], word[at + SIDE - 8])
+            out[within] = (value >> np.uint64(40)) % np.uint64(255) + np.uint64(1)
+        return out
+
+    def open_starts(self, status: np.ndarray):
+        """Starts that are open by their tile's status, and the entries of their strings."""
+        tiles = np.flatnonzero(status >= OPEN_LEFT)
         sizes = self.high[tiles] - self.low[tiles] + 1
-        starts = ranges(self.low[tiles], sizes)
+        starts, own = ranges(self.low[tiles], sizes), np.repeat(tiles, sizes)
+        before = self.anchor[own] - starts
+        needs = OPEN_LEFT * (before >= SIDE) + OPEN_RIGHT * (before <= SPAN - GRAM - SIDE)
+        met = status[own] & needs == needs
+        starts, own = starts[met], own[met]
         word = np.ndarray((max(0, len(self.data) - 7),), "<u8", self.data, strides=(1,))
         grams = [_mix((word[starts + k] * A) ^ _mix(word[starts + k + 8] + C)) for k in (0, 16, 32, 34)]
         head, body = _joined(*grams), _joined(*grams[::-1])
-        return starts, Entries(head, (body >> np.uint64(32)).astype(np.uint32), np.repeat(self.doc[tiles], sizes))
+        return starts, Entries(head, (body >> np.uint64(32)).astype(np.uint32), self.doc[own])
 
 
 def _blocks(first, count, owner):
@@ -131,7 +153,7 @@ def _blocks(first, count, owner):
 class Entries:
     """Strings of a pack by hash keys; each different one is sent once, with its least document."""
 
-    def __init__(self, head: np.ndarray, body: np.ndarray, doc: np.ndarray):
+    def __init__(self, head: np.ndarray, body: np.ndarray, doc: np.ndarray, *sides: np.ndarray):
         order = np.lexsort((doc, body, head))
         head, body = head[order], body[order]
         new = np.ones(len(order), bool)
@@ -139,6 +161,7 @@ class Entries:
         self.run = np.empty(len(order), np.int64)
         self.run[order] = np.cumsum(new) - 1
         self.head, self.body, self.least = head[new], body[new], doc[order][new]
+        self.sides = [x[order][new] for x in sides]
         self.later = doc > self.least[self.run]  # a smaller document of this pack has it
 
     def status(self, answers: np.ndarray) -> np.ndarray:
@@ -226,7 +249,7 @@ def _send(entries: Entries, cuts: np.ndarray, pack: int):
         if b > a:
             head, doc = entries.head[a:b], (entries.least[a:b] - low).astype(np.uint64)
             step = np.diff(head, prepend=np.uint64(0))
-            blob = low.to_bytes(8, "little", signed=True) + _squeeze(step, entries.body[a:b], doc)
+            blob = low.to_bytes(8, "little", signed=True) + _squeeze(step, entries.body[a:b], doc, *(x[a:b] for x in entries.sides))
             rows.append({"bucket": bucket, "pack": pack, "n": b - a, "blob": blob})
     return rows
 
@@ -239,9 +262,10 @@ def _answer(bucket, packs, sizes, blobs, splitters, tiles: bool):
     """Statuses of all entries of a bucket: sorted by leading bytes, string and document."""
     parts = []
     for n, blob in zip(sizes, blobs):
-        step, body, doc = _spread(blob[8:], n, (np.uint64, np.uint32, np.uint64))
-        parts.append((np.cumsum(step, dtype=np.uint64), body, doc.astype(np.int64) + int.from_bytes(blob[:8], "little", signed=True)))
-    head, body, doc = (np.concatenate(x) for x in zip(*parts))
+        step, body, doc, *sides = _spread(blob[8:], n, (np.uint64, np.uint32, np.uint64, *(np.uint8, np.uint8) * tiles))
+        low = int.from_bytes(blob[:8], "little", signed=True)
+        parts.append((np.cumsum(step, dtype=np.uint64), body, doc.astype(np.int64) + low, *sides))
+    head, body, doc, *sides = (np.concatenate(x) for x in zip(*parts))
     order = np.lexsort((doc, body, head))
     h, b, d = head[order], body[order], doc[order]
     new_head = np.r_[True, h[1:] != h[:-1]]
@@ -249,10 +273,13 @@ def _answer(bucket, packs, sizes, blobs, splitters, tiles: bool):
     runs = np.cumsum(new) - 1
     status = np.where(d > d[np.flatnonzero(new)][runs], REPEATED, PLAIN).astype(np.uint8)
     if tiles:
-        heads = np.cumsum(new_head) - 1
-        several = np.bincount(heads[new]) > 1
-        edge = np.isin(h, np.array([s[0] for s in splitters[max(0, bucket - 1) : bucket + 1]], np.uint64))
-        status[(status == PLAIN) & (several[heads] | edge)] = OPEN
+        edge = np.isin(h, np.array([x[0] for x in splitters[max(0, bucket - 1) : bucket + 1]], np.uint64))
+        group = (np.cumsum(new_head) - 1)[new]
+        for side, flag in zip(sides, (OPEN_LEFT, OPEN_RIGHT)):
+            value = side[order][new]
+            kinds = np.unique(group * 256 + value, return_inverse=True)[1]
+            shared = ((np.bincount(kinds)[kinds] > 1) & (value > 0))[runs] | edge
+            status[(status != REPEATED) & shared] |= flag
     out = np.empty_like(status)
     out[order] = status
     ends = np.cumsum(np.r_[0, sizes]).tolist()
@@ -346,10 +373,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for row in batch.to_pylist():
                 tiles = _tiles(row["blob"], row["n"])
                 status = tiles.entries.status(_read_answers(row["first"], len(tiles.entries.head)))
-                opened = np.flatnonzero(status == OPEN)
-                if opened.size:
-                    _, entries = tiles.starts_of(opened)
-                    yield pa.RecordBatch.from_pylist(_send(entries, entries.cuts(even), row["pack"]), schema=PART_TYPE)
+                _, entries = tiles.open_starts(status)
+                rows = _send(entries, entries.cuts(even), row["pack"])
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema=PART_TYPE)
 
     asked = packs.join(first, "pack", "left")
     second = _answers(asked.mapInArrow(send_starts, PARTS), even, tiles=False).withColumnRenamed("answers", "second")
@@ -362,9 +389,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 status = tiles.entries.status(_read_answers(row["first"], len(tiles.entries.head)))
                 gone = np.flatnonzero(status == REPEATED)
                 low, high = tiles.low[gone], tiles.high[gone] + SPAN
-                opened = np.flatnonzero(status == OPEN)
-                if opened.size:
-                    starts, entries = tiles.starts_of(opened)
+                if (status >= OPEN_LEFT).any():
+                    starts, entries = tiles.open_starts(status)
                     again = starts[entries.status(_read_answers(row["second"], len(entries.head))) == REPEATED]
                     low, high = np.r_[low, again], np.r_[high, again + SPAN]
                 n = len(data)

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from tastewright.session import use_checkpoint_folder
 
 #: Bytes of text a task works on at a time; a longer text is a slice of its own.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 #: Distinct words a memo holds before it starts anew.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 400_000
 #: 3-word windows pack three word numbers of this many bits.
 WORD_BITS = 21
 
@@ -125,13 +125,13 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return shift + np.arange(total)
 
 
-def sums_by_row(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def sums_by_row(values: np.ndarray, counts: np.ndarray, dtype=np.float64) -> np.ndarray:
     """Sums of consecutive runs of ``counts`` values; empty runs give zero."""
-    out = np.zeros((len(counts), *values.shape[1:]), np.float64)
+    out = np.zeros((len(counts), *values.shape[1:]), dtype)
     full = np.flatnonzero(counts)
     if full.size:
         starts = (np.cumsum(counts) - counts)[full]
-        out[full] = np.add.reduceat(values, starts, axis=0, dtype=np.float64)
+        out[full] = np.add.reduceat(values, starts, axis=0, dtype=dtype)
     return out
 
 

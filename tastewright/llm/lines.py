@@ -169,7 +169,7 @@ def _with_end(batches):
 
 
 def _apply(batches):
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         texts, counts, dropped = [], [], []
         for text, keep in zip(batch.column("text").to_pylist(), batch.column("keep").to_pylist()):
             lines = (text or "").split("\n")

@@ -54,7 +54,7 @@ def _fingerprints(batches):
             counts = np.array(counts, np.int64)
             values = np.array(hashes, np.uint64)
             bits = np.unpackbits(values.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            over = 2 * sums_by_row(bits, counts) > counts[:, None]
+            over = 2 * sums_by_row(bits, counts, np.uint32) > counts[:, None]
             packed = np.packbits(over, axis=1, bitorder="little").reshape(-1, 8)
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(packed.copy().view("<i8").ravel())], names=["doc_id", "fp"])

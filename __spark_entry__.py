@@ -29,7 +29,7 @@ from tastewright.operators import (
     train,
     training_set,
 )
-from tastewright.plans import recommend_for_session, recommend_for_sessions
+from tastewright.plans import recommend, recommend_for_session, recommend_for_sessions, recommend_many
 from tastewright.schemas import PRESETS
 from tastewright.sources import (
     catalogue_table,
@@ -81,10 +81,13 @@ def _average_scores(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFr
 
 def _vector_model(spark: SparkSession, folder: str) -> FactorModel:
     """The embedding table as the factors of users and items alike."""
-    vectors = spark.read.parquet(f"{folder}/embeddings.parquet").select(
-        F.col("vec_id").cast("int").alias("id"), F.col("embedding").alias("features")
+    users, items = (
+        spark.read.parquet(f"{folder}/embeddings.parquet").select(
+            F.col("vec_id").cast("int").alias("id"), F.col("embedding").alias("features")
+        )
+        for _ in range(2)
     )
-    return FactorModel(vectors, vectors, rank=64, seconds=0.0, solver="given")
+    return FactorModel(users, items, rank=64, seconds=0.0, solver="given")
 
 
 def _event_pairs(spark: SparkSession, folder: str) -> DataFrame:
@@ -252,8 +255,47 @@ def format_list_query(spark, folder):
     return format_list(support_topk_query(spark, folder))
 
 
+def format_list_users_query(spark, folder):
+    """Lists by user, with the users who have none."""
+    ranked = support_topk_query(spark, folder)
+    users = spark.read.parquet(f"{folder}/customer.parquet").select(F.col("c_custkey").cast("int").alias("user_id"))
+    return format_list(ranked, users)
+
+
+def title_map_ordered_query(spark, folder):
+    """Brands to items, where the row with the highest price is the last."""
+    part = spark.read.parquet(f"{folder}/part.parquet").select(
+        F.col("p_partkey").cast("int").alias("item_id"), F.col("p_brand").alias("title"),
+        F.struct("p_retailprice", "p_partkey").alias("line_order"))
+    return title_map(part)
+
+
+def search_empty_query(spark, folder):
+    return search_titles(catalogue_table(spark, folder), "")
+
+
+def _given(spark, folder):
+    ratings = ratings_table(spark, folder)
+    return _vector_model(spark, folder), item_stats(ratings), catalogue_table(spark, folder)
+
+
+def recommend_given_query(spark, folder):
+    """The whole list from a given model."""
+    return recommend(*_given(spark, folder), new_ratings(spark, SESSION), MOVIES)
+
+
+def recommend_given_unique_query(spark, folder):
+    """The same where the catalogue has every item twice, listed once."""
+    model, stats, items = _given(spark, folder)
+    return recommend(model, stats, items.union(items), new_ratings(spark, SESSION), MOVIES, unique_items=True)
+
+
+def recommend_given_many_query(spark, folder):
+    return recommend_many(*_given(spark, folder), _captured(spark, folder), MOVIES)
+
+
 def preview_query(spark, folder):
-    return preview(_captured(spark, folder))
+    return preview(_captured(spark, folder).orderBy("user_id", "item_id", "rating"))
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -289,6 +331,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "recommend_top5_electronics": recommend_top5_electronics_query,
         "recommend_many": recommend_many_query,
         "format_list": format_list_query,
+        "format_list_users": format_list_users_query,
+        "title_map_ordered": title_map_ordered_query,
+        "search_empty": search_empty_query,
+        "recommend_given": recommend_given_query,
+        "recommend_given_unique": recommend_given_unique_query,
+        "recommend_given_many": recommend_given_many_query,
         "preview": preview_query,
         **(text_queries.queries() if text_queries else {}),
     }
@@ -331,6 +379,16 @@ DOT = "CAST(list_inner_product(CAST(w.embedding AS DOUBLE[]), CAST(v.embedding A
 
 def oracle_sql() -> dict[str, str]:
     numbers = "numbers AS (SELECT user_id, title, TRY_CAST(trim(rating_text) AS DOUBLE) AS number FROM sub)"
+    captured = """cap AS (SELECT user_id, item_id, number AS rating FROM numbers JOIN tm ON numbers.title = tm.title
+            WHERE numbers.title <> '' AND number > 0 AND number < 6)"""
+    # Every unrated item scored, supported ones listed late.
+    listed = """SELECT user_id, rank, item_id, title, prediction, n_ratings FROM (
+              SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY prediction DESC, item_id) AS rank FROM all_scored
+              WHERE n_ratings >= 25) WHERE rank <= 5"""
+    given = f"""WITH {R}, {I}, {N}, {ST}, all_scored AS (
+              SELECT CAST(0 AS INT) AS user_id, i.item_id, title, {DOT} AS prediction, n_ratings
+              FROM i JOIN st ON i.item_id = st.item_id JOIN embeddings v ON v.vec_id = i.item_id
+              JOIN embeddings w ON w.vec_id = 0 WHERE i.item_id NOT IN (SELECT item_id FROM n)) {listed}"""
     return {
         "parse_ratings": f"WITH {R} SELECT * FROM r",
         "parse_ratings_naive": f"WITH {R} SELECT * FROM r",
@@ -394,5 +452,24 @@ def oracle_sql() -> dict[str, str]:
             SELECT user_id, 'Recommended For You :' || chr(10) || chr(10) || '* '
                    || string_agg(title, chr(10) || '* ' ORDER BY rank) AS text
             FROM topk GROUP BY user_id""",
+        "format_list_users": f"""WITH {R}, {I}, {N}, {ST}, {TOPK},
+            l AS (SELECT user_id, chr(10) || '* ' AS s, string_agg(title, chr(10) || '* ' ORDER BY rank) AS t
+                  FROM topk GROUP BY user_id)
+            SELECT CAST(c_custkey AS INT) AS user_id,
+                   'Recommended For You :' || chr(10) || chr(10) || '* ' || coalesce(t, '') AS text
+            FROM customer LEFT JOIN l ON c_custkey = user_id""",
+        "title_map_ordered": """SELECT p_brand AS title,
+            CAST(arg_max(p_partkey, (p_retailprice, p_partkey)) AS INT) AS item_id FROM part GROUP BY p_brand""",
+        "search_empty": f"""WITH {I}
+            SELECT row_number() OVER (ORDER BY lower(title), item_id) AS position, title, item_id FROM i""",
+        "recommend_given": given,
+        "recommend_given_unique": given,
+        "recommend_given_many": f"""WITH {R}, {I}, {TM}, {SUB}, {ST}, {numbers}, {captured}, all_scored AS (
+              SELECT u.user_id, i.item_id, title, {DOT} AS prediction, n_ratings
+              FROM (SELECT DISTINCT user_id FROM cap) u JOIN embeddings w ON w.vec_id = u.user_id
+              CROSS JOIN i JOIN st ON i.item_id = st.item_id JOIN embeddings v ON v.vec_id = i.item_id
+              WHERE NOT EXISTS (SELECT 1 FROM cap WHERE cap.user_id = u.user_id AND cap.item_id = i.item_id)) {listed}""",
+        "preview": f"""WITH {I}, {TM}, {SUB}, {numbers}, {captured}
+            SELECT * FROM cap ORDER BY user_id, item_id, rating LIMIT 10""",
         **(text_queries.oracle_sql() if text_queries else {}),
     }

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import argparse
 
-from tastewright.operators import dataset_summary, format_list, title_map
+from tastewright.operators import dataset_summary, format_list, preview, title_map
 from tastewright.plans import RatingSession, recommend_for_session
-from tastewright.schemas import LIST_LENGTH, PRESETS, SESSION_USER
+from tastewright.schemas import BLOCKS, LIST_LENGTH, PRESETS, SESSION_USER, SOLVER
 from tastewright.session import spark_session
 from tastewright.sources import local_table, read_items, read_ratings
 from tastewright.sources.records import DIALECTS
@@ -22,6 +22,9 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument(
         "--rate", action="append", default=[], metavar="TITLE=RATING", help="a new rating; repeatable"
     )
+    parser.add_argument("--unique-items", action="store_true", help="list an item once, whatever its rows")
+    parser.add_argument("--solver", choices=["blocks", "joins"], default=SOLVER)
+    parser.add_argument("--blocks", type=int, default=BLOCKS, help="blocks of the block solver")
     parser.add_argument("--length", type=int, default=LIST_LENGTH)
     parser.add_argument("--out", help="also write the list as parquet to this path")
     return parser.parse_args(argv)
@@ -41,10 +44,12 @@ def main(argv: list[str] | None = None) -> None:
         session.submit(title, rating)
     new = session.ratings(spark, title_map(items))
 
+    print("New ratings taken: " + "; ".join(f"item {r.item_id} = {r.rating}" for r in preview(new).collect()))
     summary = dataset_summary(ratings, items).first()
     print(f"{summary.n_ratings} ratings of {summary.n_items} items")
     ranked, model = recommend_for_session(
-        ratings, items, new, preset.min_ratings, options.length
+        ratings, items, new, preset.min_ratings, options.length,
+        unique_items=options.unique_items, solver=options.solver, blocks=options.blocks,
     )
     print(f"Model trained in {model.seconds} seconds")
     if options.out:

@@ -1,6 +1,7 @@
 from tastewright.functions.text import (
     bullet_list,
     csv_fields,
+    csv_struct,
     has_prefix,
     naive_fields,
     required,

@@ -36,16 +36,23 @@ def naive_fields(line: Column, count: int) -> Column:
     return F.split(line, ",", -1)
 
 
-def csv_fields(line: Column, count: int) -> Column:
+def csv_fields(line: Column, parsed: Column, count: int) -> Column:
     """At least the first ``count`` fields of a CSV line with double quotes.
 
-    A line without a quote is the same either way, and cutting it is cheaper.
+    ``parsed`` is the line's ``csv_struct``, a column of its own so that a line
+    is parsed once. A line without a quote is the same either way, and cutting
+    it is cheaper.
     """
-    names = [f"f{i}" for i in range(count)]
-    schema = ", ".join(f"{name} string" for name in names)
-    parsed = F.from_csv(line, schema, {"mode": "PERMISSIVE", "escape": '"'})
-    quoted = F.array(*[parsed[name] for name in names])
-    return F.when(F.contains(line, F.lit('"')), quoted).otherwise(naive_fields(line, count))
+    has_quote = F.contains(line, F.lit('"'))
+    quoted = F.array(*[parsed[f"f{i}"] for i in range(count)])
+    return F.when(has_quote, quoted).otherwise(naive_fields(line, count))
+
+
+def csv_struct(line: Column, count: int) -> Column:
+    """The first ``count`` fields of a line with quotes, as a struct; NULL for a line without."""
+    schema = ", ".join(f"f{i} string" for i in range(count))
+    options = {"mode": "PERMISSIVE", "escape": '"'}
+    return F.from_csv(F.when(F.contains(line, F.lit('"')), line), schema, options)
 
 
 def has_prefix(text: Column, prefix: Column) -> Column:

@@ -15,8 +15,6 @@ from tastewright.operators.scoring import score, score_items, top_items
 from tastewright.operators.statistics import dataset_summary, item_stats, rating_counts
 from tastewright.operators.training import (
     FactorModel,
-    Limits,
-    choose_solver,
     fit_residuals,
     train,
     training_set,
@@ -24,11 +22,9 @@ from tastewright.operators.training import (
 
 __all__ = [
     "FactorModel",
-    "Limits",
     "add_titles",
     "candidates",
     "capture_ratings",
-    "choose_solver",
     "count_titles",
     "dataset_summary",
     "fit_residuals",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 from time import perf_counter
 
@@ -13,24 +12,10 @@ from pyspark.sql import functions as F
 from tastewright.functions import dot
 from tastewright.operators.join_training import train_by_joins
 from tastewright.operators.lookup import lookup
-from tastewright.schemas import ITERATIONS, RANK, REGULARIZATION, SEED
+from tastewright.schemas import BLOCKS, ITERATIONS, RANK, REGULARIZATION, SEED, SOLVER
 from tastewright.session import use_checkpoint_folder
 
 
-@dataclass(frozen=True)
-class Limits:
-    """What the library's block solver is given; beyond it, joins take over.
-
-    The block solver keeps all ratings of an id in one block, and a block in
-    one task, so both totals and the hottest id must be known to fit.
-    """
-
-    per_block: int = 5_000_000
-    min_blocks: int = 10
-    max_blocks: int = 512
-    per_id: int = 20_000_000
-
-
 @dataclass(frozen=True)
 class FactorModel:
     """Fitted factors, (id INT, features ARRAY<FLOAT>), ids unique."""
@@ -47,53 +32,26 @@ def training_set(ratings: DataFrame, new: DataFrame) -> DataFrame:
     return ratings.unionByName(new)
 
 
-def choose_solver(
-    ratings: DataFrame, limits: Limits = Limits(), total: int | None = None
-) -> tuple[str, int]:
-    """("blocks" or "joins", number of blocks), from the size of the data alone.
-
-    ``total`` saves counting the ratings where their number is known. The
-    hottest id is looked for only if the whole is too much for one id.
-    """
-    if total is None:
-        total = ratings.count()
-    blocks = max(limits.min_blocks, math.ceil(total / limits.per_block))
-    if blocks > limits.max_blocks:
-        return "joins", 0
-    if total > limits.per_id:
-        for key in ("user_id", "item_id"):
-            hottest = ratings.groupBy(key).count().agg(F.max("count")).first()[0]
-            if hottest > limits.per_id:
-                return "joins", 0
-    return "blocks", blocks
-
-
 def train(
     ratings: DataFrame,
     rank: int = RANK,
     iterations: int = ITERATIONS,
     regularization: float = REGULARIZATION,
     seed: int = SEED,
-    solver: str | None = None,
-    blocks: int | None = None,
-    limits: Limits = Limits(),
-    total: int | None = None,
+    solver: str = SOLVER,
+    blocks: int = BLOCKS,
 ) -> FactorModel:
     """Fit ``rating ~ user . item``, the penalty weighted by rating counts.
 
-    The start point depends on the solver and on ``blocks``, which follow from
-    the data size and not from the cluster; one start point gives one result.
-    ``seconds`` is the wall time of the fit.
+    ``solver`` ("blocks" or "joins") and ``blocks`` set the start point, so they
+    are part of the model like ``seed``; neither follows from the data or the
+    cluster. ``seconds`` is the wall time of the fit.
     """
-    if solver is None:
-        solver, chosen = choose_solver(ratings, limits, total)
-        blocks = blocks or chosen
     use_checkpoint_folder(ratings.sparkSession)
     started = perf_counter()
     if solver == "joins":
         users, items = train_by_joins(ratings, rank, iterations, regularization, seed)
     elif solver == "blocks":
-        blocks = blocks or limits.min_blocks
         model = ALS(
             userCol="user_id",
             itemCol="item_id",

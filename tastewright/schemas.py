@@ -39,6 +39,9 @@ RANK = 8
 ITERATIONS = 10
 REGULARIZATION = 0.1
 SEED = 5
+# Also parts of the start point.
+SOLVER = "blocks"
+BLOCKS = 10
 LIST_HEADING = "Recommended For You :\n\n* "
 LIST_SEPARATOR = "\n* "
 

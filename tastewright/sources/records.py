@@ -1,7 +1,8 @@
 """Ratings and catalogue sources.
 
 Text inputs carry no header. Fields after the ones used are ignored, and a
-short, blank or malformed line fails the job as soon as a query uses it.
+short, blank or malformed line fails any job that reads it, also one that only
+counts. So does a row of a columnar input with a NULL or an id out of range.
 """
 
 from __future__ import annotations
@@ -13,11 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tastewright.functions import csv_fields, naive_fields, required, to_int, to_number
+from tastewright.functions import csv_fields, csv_struct, naive_fields, required, to_int, to_number
 from tastewright.schemas import ITEM, RATING
 
 # "csv" honours double quotes, "naive_split" cuts at every comma.
-DIALECTS = {"csv": csv_fields, "naive_split": naive_fields}
+DIALECTS = ("csv", "naive_split")
 
 ARROW_TYPES = {"integer": pa.int32(), "double": pa.float64(), "string": pa.string()}
 
@@ -26,19 +27,34 @@ def _fields(lines: DataFrame, count: int, dialect: str) -> tuple[DataFrame, list
     """The lines with their fields, and the first ``count`` fields."""
     if dialect not in DIALECTS:
         raise ValueError(f"dialect must be one of {sorted(DIALECTS)}, not {dialect!r}")
-    cut = lines.withColumn("fields", DIALECTS[dialect](F.col("value"), count))
+    line = F.col("value")
+    if dialect == "csv":
+        lines = lines.withColumn("parsed", csv_struct(line, count))
+        cut = lines.withColumn("fields", csv_fields(line, F.col("parsed"), count))
+    else:
+        cut = lines.withColumn("fields", naive_fields(line, count))
     return cut, [F.get("fields", F.lit(i)) for i in range(count)]
 
 
+def _checked(rows: DataFrame, names: list[str], fields: list[Column], keep: tuple[str, ...] = ()) -> DataFrame:
+    """``fields`` of each row, all computed even where a query uses none.
+
+    As the output of a generator they are not pruned, so their checks hold for
+    counts as well.
+    """
+    named = [field.alias(name) for name, field in zip(names, fields)]
+    return rows.select(F.inline(F.array(F.struct(*named))), *keep).select(*names, *keep)
+
+
 def parse_ratings(lines: DataFrame, dialect: str = "csv") -> DataFrame:
     """Lines in column ``value`` to (user_id, item_id, rating)."""
     cut, (user, item, rating) = _fields(lines, 3, dialect)
     line = F.col("value")
-    return cut.select(
-        required(to_int(user), "user id", line).alias("user_id"),
-        required(to_int(item), "item id", line).alias("item_id"),
-        required(to_number(rating), "rating", line).alias("rating"),
-    )
+    return _checked(cut, RATING.names, [
+        required(to_int(user), "user id", line),
+        required(to_int(item), "item id", line),
+        required(to_number(rating), "rating", line),
+    ])
 
 
 def parse_items(lines: DataFrame, dialect: str = "csv", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -47,16 +63,18 @@ def parse_items(lines: DataFrame, dialect: str = "csv", keep: tuple[str, ...] =
     line = F.col("value")
     # The CSV parser gives NULL for an empty field; a missing one has no comma before it.
     title = F.when(F.contains(line, F.lit(",")), F.coalesce(title, F.lit("")))
-    return cut.select(
-        required(to_int(item), "item id", line).alias("item_id"),
-        required(title, "title", line).alias("title"),
-        *keep,
-    )
+    return _checked(cut, ITEM.names, [
+        required(to_int(item), "item id", line),
+        required(title, "title", line),
+    ], keep)
 
 
 def _columns(spark: SparkSession, path, file_format: str, schema) -> DataFrame:
     table = spark.read.format(file_format).load(path)
-    return table.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
+    row = F.to_json(F.struct(*[F.col(f.name) for f in schema]))
+    return _checked(table, schema.names, [
+        required(F.col(f.name).try_cast(f.dataType), f.name, row) for f in schema
+    ])
 
 
 def read_ratings(spark: SparkSession, path, file_format: str = "text", dialect: str = "csv") -> DataFrame:

@@ -130,8 +130,32 @@ def test_new_ratings(spark):
     assert empty.dtypes == [("user_id", "int"), ("item_id", "int"), ("rating", "double")]
 
 
-def test_only_used_fields_are_parsed(spark, tmp_path):
-    """The count of a catalogue needs no title, and no parse of one."""
-    (tmp_path / "items.csv").write_text("1,a\n2,b\n")
-    plan = read_items(spark, str(tmp_path)).agg(F.count("*"))._jdf.queryExecution().toString()
-    assert "from_csv" not in plan.split("== Physical Plan ==")[1]
+@pytest.mark.parametrize("dialect", ["csv", "naive_split"])
+@pytest.mark.parametrize("bad", ["userId,movieId,rating", "", "1,2", "1,2,abc", "3000000000,1,2"])
+def test_counts_fail_on_malformed_lines(spark, tmp_path, dialect, bad):
+    (tmp_path / "ratings.csv").write_text(f"1,10,4.0\n{bad}\n")
+    rows = read_ratings(spark, str(tmp_path), dialect=dialect)
+    for asked in (rows, rows.groupBy("item_id").count()):
+        with pytest.raises(Exception, match="malformed"):
+            asked.agg(F.count("*")).collect()
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_columnar_rows_are_checked(spark, tmp_path, ansi):
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        for k, row in enumerate([(3000000000, 1, 2.0), (None, 1, 2.0), (1, 1, None)]):
+            path = f"{tmp_path}/{k}"
+            spark.createDataFrame([row], "user_id long, item_id long, rating double").write.parquet(path)
+            with pytest.raises(Exception, match="malformed"):
+                read_ratings(spark, path, "parquet").agg(F.count("*")).collect()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", "true")
+
+
+def test_a_quoted_line_is_parsed_once(spark, tmp_path):
+    (tmp_path / "items.csv").write_text('1,"a, b"\n2,b\n')
+    rows = read_items(spark, str(tmp_path))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_csv") == 1
+    assert {r.title for r in rows.collect()} == {"a, b", "b"}

@@ -5,8 +5,6 @@ from pyspark.ml.recommendation import ALS
 from pyspark.sql import functions as F
 
 from tastewright.operators import (
-    Limits,
-    choose_solver,
     fit_residuals,
     item_stats,
     score,
@@ -127,16 +125,16 @@ def test_unknown_solver(everything):
         train(everything, solver="guess")
 
 
-def test_choice_of_solver(spark):
-    hot = [(u, 1, 1.0) for u in range(30)] + [(u, 2 + u, 1.0) for u in range(30)]
-    ratings = spark.createDataFrame(hot, RATING)
-    assert choose_solver(ratings) == ("blocks", 10)
-    assert choose_solver(ratings, Limits(per_block=5, max_blocks=12)) == ("blocks", 12)
-    assert choose_solver(ratings, Limits(per_block=5, max_blocks=11)) == ("joins", 0)
-    assert choose_solver(ratings, Limits(per_id=30)) == ("blocks", 10)
-    assert choose_solver(ratings, Limits(per_id=29)) == ("joins", 0)
-    assert choose_solver(ratings, total=5_000_000 * 20)[1] == 20
-    assert train(ratings, iterations=1, limits=Limits(per_id=29)).solver == "joins"
+def test_settings_do_not_follow_the_data(spark):
+    """Frames that differ in their number of rows are fitted from equal settings."""
+    few = spark.createDataFrame([(u, i, 3.0) for u in range(1, 6) for i in range(1, 6)], RATING)
+    many = few.union(few).union(few)
+    models = [train(rows, iterations=1) for rows in (few, many)]
+    assert [m.solver for m in models] == ["blocks", "blocks"]
+    start = train(few, iterations=1, blocks=10)
+    assert distance(factors(models[0].user_factors), factors(start.user_factors)) == 0
+    assert train(few, iterations=1, solver="joins").solver == "joins"
+
 
 
 @pytest.mark.parametrize("solver", ["blocks", "joins"])

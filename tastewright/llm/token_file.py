@@ -21,7 +21,9 @@ from __future__ import annotations
 
 import re
 import struct
+import sys
 import zlib
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +32,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tastewright.llm.common import MEMO_WORDS, Rows, WordMemo, id_and_text, ranges, slices, texts_of
+from tastewright.llm.common import Rows, WordMemo, id_and_text, ranges, slices, texts_of
 from tastewright.session import written_table
 
 END_ID = 0
 FILE_IDS = 1 << 20
+#: Distinct parts of texts a worker remembers.
+MEMO_PARTS = 900_000
 NO_ID = -(1 << 63)
 #: A space before one of these bytes, or the end, is not cut at: white space may
 #: begin there, which belongs to the same piece.
@@ -74,7 +78,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(json_text)
         self.ids, self.starts, self.lengths = Rows(dtype=np.uint32), Rows(dtype=np.int64), Rows(dtype=np.int64)
-        self.memo = WordMemo(self._compute, self._reset, MEMO_WORDS)
+        self.memo = WordMemo(self._compute, self._reset, MEMO_PARTS)
 
     def _reset(self):
         for rows in (self.ids, self.starts, self.lengths):
@@ -192,7 +196,11 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_i
         json_text = source.read()
 
     def files(batches):
-        encoder, inflate = Encoder(json_text), zstandard.ZstdDecompressor()
+        # Tasks that a worker runs one after another share its encoder and memo.
+        kept = sys.modules.setdefault("token_file_worker", ModuleType("token_file_worker"))
+        if getattr(kept, "json_text", None) != json_text:
+            kept.json_text, kept.encoder = json_text, Encoder(json_text)
+        encoder, inflate = kept.encoder, zstandard.ZstdDecompressor()
         part = TaskContext.get().partitionId()
         state = {"seq": 0, "first": 0}
         names, sizes, ids, held = [], [], [], 0

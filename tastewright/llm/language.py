@@ -98,6 +98,8 @@ class LanguageModel:
         self.limits = np.full(len(self.languages), np.inf)
         tables = [self._counts(counts[name]) for name in self.languages]
         n = len(self.languages)
+        if not n:
+            return
         uniform = 1.0 / (len(alphabet) + 2)
         lower_grams, lower = np.zeros(1, np.uint64), np.full((1, n), uniform)
         self.grams, self.weights = [None], [None]

@@ -13,14 +13,12 @@ labels of an id count once, toxic if any is.
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tastewright.llm.common import MEMO_WORDS, Rows, WordMemo, id_and_text, is_held_out, ranges, slices, texts_of
+from tastewright.llm.common import MEMO_WORDS, Rows, WordMemo, id_and_text, is_held_out, ranges, slices, stored, texts_of
 
 #: Texts learnt from, on average: confirmed toxic ones, and unlabelled ones.
 POSITIVES, UNLABELLED = 2000, 5000
@@ -70,26 +68,15 @@ class ToxicModel:
         self.weights, self.bias, self.prior = weights, bias, prior
 
     @classmethod
-    def fit(cls, positive: list[set[str]], unlabelled: list[set[str]], prior: float) -> "ToxicModel":
+    def fit(cls, words: list[str], positive: list[list[int]], unlabelled: list[list[int]], prior: float) -> "ToxicModel":
+        """From the places in ``words`` of what each text has of them."""
         if not positive or not unlabelled or not 0 < prior < 1:
             return cls({}, -np.inf, prior)
-        count = lambda texts: Counter(w for t in texts for w in t)
-        in_p, in_u = count(positive), count(unlabelled)
-        np_, nu = len(positive), len(unlabelled)
-
-        def z(word):
-            a, c = in_p[word] / np_, in_u[word] / nu
-            both = (in_p[word] + in_u[word]) / (np_ + nu)
-            return (a - c) / np.sqrt(max(both * (1 - both), 1e-12) * (1 / np_ + 1 / nu))
-
-        ranked = sorted(((z(w), w) for w, n in in_p.items() if n >= LEAST_TEXTS), reverse=True)
-        words = [w for value, w in ranked[:FEATURES] if value >= LEAST_Z]
-        place = {w: k for k, w in enumerate(words)}
 
         def table(texts):
             out = np.zeros((len(texts), len(words)), np.float32)
             for row, text in enumerate(texts):
-                out[row, [place[w] for w in text if w in place]] = 1
+                out[row, text] = 1
             return out
 
         weights, bias = prior_corrected_fit(table(positive), table(unlabelled), prior)
@@ -134,31 +121,63 @@ class Scorer:
             return 1 / (1 + np.exp(-(sums + self.model.bias)))
 
 
+def _sample_features(batches):
+    for batch in batches:
+        for part in slices(batch):
+            features = [sorted(features_in(text)) for text in texts_of(part)]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("p"), part.column("u"), pa.array(features, pa.list_(pa.string()))], names=["p", "u", "features"])
+
+
+def telling_features(texts: DataFrame, n_p: int, n_u: int) -> DataFrame:
+    """``feature`` with the ``z`` of a two-sample test, the most telling of toxic texts first."""
+    counts = texts.select("p", "u", F.explode("features").alias("feature")).groupBy("feature").agg(
+        F.sum(F.col("p").cast("long")).alias("in_p"), F.sum(F.col("u").cast("long")).alias("in_u"))
+    both = (F.col("in_p") + F.col("in_u")) / F.lit(n_p + n_u)
+    spread = F.sqrt(F.greatest(both * (1 - both), F.lit(1e-12)) * F.lit(1 / n_p + 1 / n_u))
+    z = (F.col("in_p") / F.lit(n_p) - F.col("in_u") / F.lit(n_u)) / spread
+    telling = counts.where(F.col("in_p") >= LEAST_TEXTS).select("feature", z.alias("z")).where(F.col("z") >= LEAST_Z)
+    return telling.orderBy(F.desc("z"), F.desc("feature")).limit(FEATURES)
+
+
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED,
           id_col: str = "doc_id", text_col: str = "text") -> ToxicModel:
-    """Learn from rows that are not held out: bounded samples, drawn by a hash of the id.
+    """Learn from rows with an id that are not held out: bounded samples, drawn by a hash of the id.
 
-    The class prior is the share of toxic ones among the labelled rows.
+    The class prior is the share of toxic ones among the labelled rows. Texts are
+    cut into features and counted on the executors; the driver gets the kept
+    features and, for each text, which of them it has.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = known.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
-    texts = id_and_text(docs, id_col, text_col).where(~is_held_out(F.col("doc_id")))
+    texts = id_and_text(docs, id_col, text_col).where(F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
     total = docs.count()
 
-    def drawn(rows, wanted, of, salt):
+    def drawn(wanted, of, salt):
         share = int((1 << 30) * min(1.0, wanted / max(1, of)))
-        return rows.where(F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 30)) < share)
+        return F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 30)) < share
 
     # Some ``positives`` ids, whatever the table's size.
-    toxic = drawn(known.where("toxic = 1").select("doc_id"), positives, sizes.toxic, 1).withColumn("p", F.lit(True))
-    marked = texts.join(F.broadcast(toxic), "doc_id", "left")
-    share = int((1 << 30) * min(1.0, unlabelled / max(1, total)))
-    free = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 30)) < share
-    sample = marked.select("text", F.col("p").isNotNull().alias("p"), free.alias("u")).where("p OR u").collect()
-    in_p = [features_in((r.text or "").encode()) for r in sample if r.p]
-    in_u = [features_in((r.text or "").encode()) for r in sample if r.u]
-    return ToxicModel.fit(in_p, in_u, sizes.toxic / max(1, sizes.n))
+    toxic = known.where((F.col("toxic") == 1) & drawn(positives, sizes.toxic, 1)).select("doc_id", F.lit(True).alias("p"))
+    marked = texts.join(F.broadcast(toxic), "doc_id", "left").select(
+        "text", F.col("p").isNotNull().alias("p"), drawn(unlabelled, total, 2).alias("u")).where("p OR u")
+    sample = stored(marked.mapInArrow(_sample_features, "p boolean, u boolean, features array<string>"))
+    n = sample.agg(*[F.coalesce(F.sum(F.col(c).cast("long")), F.lit(0)).alias(c) for c in "pu"]).first()
+    if not n.p or not n.u:
+        return ToxicModel.fit([], [], [], 0.0)
+    words = [r.feature for r in telling_features(sample, n.p, n.u).collect()]
+    place = {w: k for k, w in enumerate(words)}
+
+    def places(batches):
+        for batch in batches:
+            own = [[place[w] for w in text if w in place] for text in batch.column("features").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("p"), batch.column("u"), pa.array(own, pa.list_(pa.int32()))], names=["p", "u", "own"])
+
+    rows = sample.mapInArrow(places, "p boolean, u boolean, own array<int>").collect()
+    return ToxicModel.fit(
+        words, [r.own for r in rows if r.p], [r.own for r in rows if r.u], sizes.toxic / max(1, sizes.n))
 
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"

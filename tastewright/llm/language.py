@@ -8,8 +8,8 @@ wins. A document is rejected when even that is far above what the language's own
 training texts have, towards the entropy of words of its letters in random order.
 
 Defined results: null text or no letter gives ``und``, score 0, rejected.
-Training rows with null text or language are left out; if nothing is left to
-learn from, every prediction is ``und``. Equal entropies go to the language that
+Training rows with null text, language or id are left out; if nothing is left
+to learn from, every prediction is ``und``. Equal entropies go to the language that
 sorts first. Repeated rows give equal rows; an empty table gives no rows.
 """
 
@@ -244,7 +244,7 @@ def train(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, id_col: str = "doc
     known = docs.select(
         docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"),
         docs[lang_col].cast("string").alias("lang"))
-    known = known.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out(F.col("doc_id")))
+    known = known.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(~is_held_out(F.col("doc_id")))
     sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
     if not sizes:
         return LanguageModel({})

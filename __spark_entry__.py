@@ -18,6 +18,7 @@ from tastewright.operators import (
     format_list,
     item_stats,
     list_titles,
+    lookup,
     preview,
     rating_counts,
     score,
@@ -76,7 +77,7 @@ def _average_scores(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFr
     stats = item_stats(ratings_table(spark, folder))
     pool = candidates(catalogue_table(spark, folder), new_ratings(spark, SESSION))
     means = stats.select("item_id", F.col("avg_rating").alias("prediction"))
-    return pool.join(means, "item_id"), stats
+    return lookup(pool, means, "item_id"), stats
 
 
 def _vector_model(spark: SparkSession, folder: str) -> FactorModel:
@@ -177,7 +178,7 @@ def support_topk_bag_query(spark, folder):
     items = lines.select(F.col("l_partkey").cast("int").alias("item_id"), F.col("l_returnflag").alias("title"))
     stats = item_stats(ratings_table(spark, folder))
     means = stats.select("item_id", F.col("avg_rating").alias("prediction"))
-    scored = candidates(items, new_ratings(spark, SESSION)).join(means, "item_id")
+    scored = lookup(candidates(items, new_ratings(spark, SESSION)), means, "item_id")
     return top_scored(scored, items, stats, MOVIES, 2000)
 
 

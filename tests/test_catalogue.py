@@ -49,7 +49,7 @@ def test_empty_catalogue(spark):
 
 def test_search_many(spark):
     items = [(1, "red ring"), (2, "Redwood"), (3, "blue"), (4, "ÄB one"), (5, "aRED"), (6, "r"), (2, "")]
-    texts = ["red", "RED", "", "äb", "none", "r", "red ring and more", "red"]
+    texts = ["red", "RED", "", "äb", "none", "r", "red ring and more", "red", "Red"]
     result = search_many(
         spark.createDataFrame(items, ITEM), spark.createDataFrame([(t,) for t in texts], "prefix string")
     )

@@ -17,11 +17,13 @@ def test_files_in_text_out(spark, tmp_path):
     done = subprocess.run(
         [sys.executable, "-m", "tastewright", "--preset", "movies",
          "--ratings", f"{tmp_path}/ratings", "--items", f"{tmp_path}/items",
-         "--rate", "red ring=5", "--rate", "blue bolt=1", "--rate", "nothing=x",
+         "--rate", "red ring=5", "--rate", "blue bolt=1", "--rate", "nothing=x", "--unique-items",
          "--out", f"{tmp_path}/list"],
         cwd=ROOT, capture_output=True, text=True, timeout=300,
     )
     assert done.returncode == 0, done.stderr
     assert "6000 ratings of 200 items" in done.stdout
+    taken = next(x for x in done.stdout.splitlines() if x.startswith("New ratings taken: "))
+    assert taken.count("item ") == 2 and "= 5.0" in taken and "= 1.0" in taken
     assert done.stdout.count("\n* ") == 5
-    assert spark.read.parquet(f"{tmp_path}/list").count() == 5
+    assert spark.read.parquet(f"{tmp_path}/list").select("item_id").distinct().count() == 5

@@ -91,3 +91,11 @@ def test_lookup_is_a_join(spark):
     rows = spark.range(1000).select((F.col("id") % 7).alias("k"), "id")
     table = spark.range(5).groupBy(F.col("id").alias("k")).agg(F.count("*").alias("n"))
     assert sorted(lookup(rows, table, "k").collect()) == sorted(rows.join(table, "k").collect())
+
+
+def test_lookup_merges_no_tasks(spark):
+    """A table of more partitions than a shuffle has is read by as many tasks."""
+    table = spark.range(100, numPartitions=40).select(F.col("id").alias("k"), F.spark_partition_id().alias("part"))
+    rows = spark.range(100).select(F.col("id").alias("k"))
+    assert lookup(rows, table, "k").select("part").distinct().count() == 40
+    assert lookup(rows, table.withColumn("task", F.spark_partition_id()), "k").count() == 100

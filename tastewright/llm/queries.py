@@ -65,6 +65,48 @@ def pipeline(spark, folder):
 
     return corpus_pipeline.run(spark, folder)
 
+# Every row is numbered, since rows of equal id keep their own lines.
+LINE_DEDUP_SQL = """WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS own FROM documents),
+l AS (SELECT r, doc_id, unnest(own) AS line, generate_subscripts(own, 1) AS n FROM d),
+k AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+common AS (
+  SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+s AS (
+  SELECT k.*, c.key IS NULL OR doc_id IS NULL OR doc_id = c.last AS stays
+  FROM k LEFT JOIN common c ON k.key = c.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE NOT stays) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE stays), '')) AS kept_sha256
+FROM s GROUP BY r, doc_id"""
+
+# A repeated 50-byte string covers its bytes; strings less than a string apart make one removed run.
+SUFFIX_DEDUP_SQL = """WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS data FROM documents),
+p AS (
+  SELECT r, doc_id, data, unnest(range(octet_length(data) - 49)) AS pos FROM d
+  WHERE doc_id IS NOT NULL AND octet_length(data) >= 50),
+w AS (SELECT r, doc_id, pos, array_slice(data, pos + 1, pos + 50) AS s FROM p),
+g AS (SELECT r, pos, doc_id, min(doc_id) OVER (PARTITION BY s) AS first_doc FROM w),
+m AS (
+  SELECT r, pos, coalesce(pos - lag(pos) OVER (PARTITION BY r ORDER BY pos) > 50, TRUE) AS fresh
+  FROM g WHERE first_doc < doc_id),
+n AS (SELECT r, pos, sum(fresh::INT) OVER (PARTITION BY r ORDER BY pos) AS span FROM m),
+spans AS (SELECT r, min(pos) AS low, max(pos) + 50 AS high FROM n GROUP BY r, span),
+stays AS (
+  SELECT r, coalesce(lag(high) OVER (PARTITION BY r ORDER BY low), 0) AS low, low AS high FROM spans
+  UNION ALL
+  SELECT d.r, coalesce(max(s.high), 0), max(octet_length(d.data)) FROM d LEFT JOIN spans s ON d.r = s.r GROUP BY d.r),
+kept AS (
+  SELECT d.r, string_agg(CASE WHEN s.low < s.high THEN hex(array_slice(d.data, s.low + 1, s.high)) ELSE '' END, ''
+    ORDER BY s.low, s.high) AS bytes FROM d JOIN stays s ON d.r = s.r GROUP BY d.r),
+gone AS (SELECT r, sum(high - low)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY r)
+SELECT doc_id, octet_length(data) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(bytes)) AS kept_sha256
+FROM d JOIN kept USING (r) LEFT JOIN gone USING (r)"""
+
 
 def queries():
     return {
@@ -83,4 +125,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {"op7_line_dedup": LINE_DEDUP_SQL, "op10_suffix_dedup": SUFFIX_DEDUP_SQL}

@@ -149,6 +149,10 @@ def list_titles_query(spark, folder):
 
 
 def search_titles_query(spark, folder):
+    return search_titles(catalogue_table(spark, folder), "RED", positions=True)
+
+
+def search_hits_query(spark, folder):
     return search_titles(catalogue_table(spark, folder), "RED")
 
 
@@ -272,7 +276,7 @@ def title_map_ordered_query(spark, folder):
 
 
 def search_empty_query(spark, folder):
-    return search_titles(catalogue_table(spark, folder), "")
+    return search_titles(catalogue_table(spark, folder), "", positions=True)
 
 
 def _given(spark, folder):
@@ -318,6 +322,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "title_map": title_map_query,
         "list_titles": list_titles_query,
         "search_titles": search_titles_query,
+        "search_hits": search_hits_query,
         "search_many": search_many_query,
         "capture_ratings": capture_ratings_query,
         "candidates": candidates_query,
@@ -410,6 +415,7 @@ def oracle_sql() -> dict[str, str]:
         "search_titles": f"""WITH {I}
             SELECT row_number() OVER (ORDER BY lower(title), item_id) AS position, title, item_id
             FROM i WHERE starts_with(lower(title), 'red')""",
+        "search_hits": f"WITH {I} SELECT title, item_id FROM i WHERE starts_with(lower(title), 'red')",
         "search_many": f"""WITH {I},
             typed AS (SELECT upper(split_part(p_name, ' ', 1)) AS prefix FROM part
                       UNION SELECT p_brand FROM part)

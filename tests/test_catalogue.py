@@ -39,8 +39,22 @@ def test_many_partitions_and_one_hot_title(spark):
 def test_search(spark, prefix):
     items = [(1, "red ring"), (2, "Redwood"), (3, "blue"), (4, "ÄB one"), (5, "aRED"), (6, "100% x")]
     hits = [r for r in items if r[1].lower().startswith(prefix.lower())]
-    result = listed(search_titles(spark.createDataFrame(items, ITEM), prefix))
-    assert result == expected(hits)
+    catalogue = spark.createDataFrame(items, ITEM)
+    assert listed(search_titles(catalogue, prefix, positions=True)) == expected(hits)
+    assert [tuple(r) for r in search_titles(catalogue, prefix).collect()] == [r[1:] for r in expected(hits)]
+
+
+def test_a_search_runs_no_job_when_built(spark):
+    catalogue = spark.createDataFrame([(i, f"red {i}") for i in range(100)], ITEM)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("search", "")
+    try:
+        found = search_titles(catalogue, "r")
+        assert tracker.getJobIdsForGroup("search") == []
+        assert found.first().title == "red 0" and tracker.getJobIdsForGroup("search")
+        assert "TakeOrderedAndProject" in found.limit(1)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_empty_catalogue(spark):

@@ -19,7 +19,9 @@ share. Starts in a row with one anchor are a *tile*, a suffix with its string.
 
 Packs drop their own repeats before they send, so a string that all documents
 share costs each pack one entry. Entries of packs travel as packed arrays.
-Strings count as equal if 96 bits of hashes are.
+Tiles count as equal if 128 bits of hashes are: 64 of the anchor's bytes and 64 of
+the whole string, which alone tell tiles of one anchor apart. Strings of round 2
+count as equal if 96 bits are, all of them of the whole string.
 
 Defined results: null text is empty. Rows of equal id are one document to each
 other: neither loses by the other. A row without an id neither loses nor makes
@@ -96,8 +98,7 @@ class Tiles:
             lo, hi, q = starts[new], starts[np.r_[new[1:] - 1, len(starts) - 1]], anchor[new]
             shape = ((hi - lo) * 64 + (q - lo)).astype(np.uint64)
             heads.append(grams[q])
-            bodies.append((_joined(shape, grams[lo], grams[lo + 16], grams[lo + 32], grams[hi + 2], grams[hi + 18], grams[hi + 34])
-                           >> np.uint64(32)).astype(np.uint32))
+            bodies.append(_joined(shape, grams[lo], grams[lo + 16], grams[lo + 32], grams[hi + 2], grams[hi + 18], grams[hi + 34]))
             owners.append(np.repeat(whose, size)[new])
             lows.append(lo + base)
             anchors.append(q + base)
@@ -107,7 +108,7 @@ class Tiles:
         self.doc = doc_ids[whole(owners, np.int64)] if len(doc_ids) else np.zeros(0, np.int64)
         left = self._side(self.anchor - SIDE, self.anchor - self.low >= SIDE)
         right = self._side(self.anchor + GRAM, self.anchor - self.high <= SIDE)
-        self.entries = Entries(whole(heads, np.uint64), whole(bodies, np.uint32), self.doc, left, right)
+        self.entries = Entries(whole(heads, np.uint64), whole(bodies, np.uint64), self.doc, left, right)
 
     def _side(self, place: np.ndarray, within: np.ndarray) -> np.ndarray:
         """One byte of hash, from 1 on, of the bytes beside the anchor; 0 where no start needs them."""
@@ -262,7 +263,8 @@ def _answer(bucket, packs, sizes, blobs, splitters, tiles: bool):
     """Statuses of all entries of a bucket: sorted by leading bytes, string and document."""
     parts = []
     for n, blob in zip(sizes, blobs):
-        step, body, doc, *sides = _spread(blob[8:], n, (np.uint64, np.uint32, np.uint64, *(np.uint8, np.uint8) * tiles))
+        body_type = np.uint64 if tiles else np.uint32
+        step, body, doc, *sides = _spread(blob[8:], n, (np.uint64, body_type, np.uint64, *(np.uint8, np.uint8) * tiles))
         low = int.from_bytes(blob[:8], "little", signed=True)
         parts.append((np.cumsum(step, dtype=np.uint64), body, doc.astype(np.int64) + low, *sides))
     head, body, doc, *sides = (np.concatenate(x) for x in zip(*parts))
@@ -332,13 +334,13 @@ def _splitters(packs: DataFrame, buckets: int):
                 found = _tiles(row["blob"], row["n"]).entries
                 step = max(1, len(found.head) // SAMPLE_TILES)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(found.head[step // 2 :: step].view(np.int64)), pa.array(found.body[step // 2 :: step].astype(np.int64))],
+                    [pa.array(found.head[step // 2 :: step].view(np.int64)), pa.array(found.body[step // 2 :: step].view(np.int64))],
                     names=["head", "body"])
 
     drawn = packs.where(F.pmod(F.xxhash64("pack"), F.lit(every)) == 0).mapInArrow(sample, "head long, body long").collect()
-    keys = sorted((r.head & (1 << 64) - 1, r.body) for r in drawn)
+    keys = sorted((r.head & (1 << 64) - 1, r.body & (1 << 64) - 1) for r in drawn)
     picked = [keys[k * len(keys) // buckets] for k in range(1, buckets)] if keys else []
-    return [(np.uint64(h), np.uint32(b)) for h, b in sorted(set(picked))]
+    return [(np.uint64(h), np.uint64(b)) for h, b in sorted(set(picked))]
 
 
 def _even_splitters(buckets: int):

@@ -1,9 +1,11 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 One model of order 5 per language over words of letters with their ends marked.
-Probabilities of all languages stand side by side in sorted hash arrays, one for
-each order, already interpolated; an n-gram no language has falls back to the
-next order by the weight of its context. The lowest cross-entropy per character
+Every language and every letter of the sample is learnt; n-grams are 64-bit
+hashes, so the alphabet has no limit. Probabilities of a block of languages stand
+side by side in sorted hash arrays, one for each order, already interpolated; an
+n-gram no language of the block has falls back to the next order by the weight of
+its context. The lowest cross-entropy per character
 wins. A document is rejected when even that is far above what the language's own
 training texts have, towards the entropy of words of its letters in random order.
 
@@ -24,29 +26,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tastewright.llm.common import (
-    MEMO_WORDS, Rows, WordMemo, id_and_text, is_held_out, slices, stored, sums_by_row, texts_of)
+    MEMO_WORDS, SLICE_BYTES, Rows, WordMemo, id_and_text, is_held_out, slices, stored, sums_by_row, texts_of)
 
 ORDER = 5
-BITS = 12  # a character's number; five make a 60-bit n-gram
 #: Texts a language is learnt from, on average; which ones, a hash of the id says.
 SAMPLE_PER_LANGUAGE = 400
-#: Languages learnt, the most frequent first.
-MAX_LANGUAGES = 64
+#: Texts of all languages together, which share it evenly if there are many, and the least for each of them.
+SAMPLE_TOTAL, LEAST_TEXTS = 25_600, 20
+#: Languages side by side in one table.
+BLOCK = 16
+#: Languages up to which memos and slices have their full size.
+FULL_SIZE = 64
 #: Where between a language's mean entropy and that of its shuffled letters the limit stands.
 REJECT_AT = 0.7
 #: Letters from which on an entropy is judged.
 LEAST_LETTERS = 20
 EDGE = 1  # the number that marks both ends of a word
 LETTERS = re.compile(r"[^\W\d_]+")
-MIX = np.uint64(0x9E3779B97F4A7C15)
+MIX, STIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def letter_runs(word: bytes) -> list[str]:
     return LETTERS.findall(word.decode().lower())
 
 
+def _longer(grams: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Hashes of n-grams with one more symbol before them."""
+    mixed = grams * MIX + before
+    return (mixed ^ (mixed >> np.uint64(29))) * STIR
+
+
 def _grams(runs: list[str], number: np.ndarray, known: np.ndarray):
-    """5-grams of all runs, each ended by a mark, and the symbols of each run."""
+    """N-grams of all runs, each ended by a mark, by order; their contexts by order; the symbols of each run."""
     sizes = np.fromiter(map(len, runs), np.int64, len(runs)) + 1
     ends = np.cumsum(sizes) - 1
     text = np.frombuffer(("\0".join(runs) + "\0").encode("utf-32-le"), np.uint32)
@@ -55,13 +66,15 @@ def _grams(runs: list[str], number: np.ndarray, known: np.ndarray):
     codes = np.where(known[place] == text, number[place], 0).astype(np.uint64)
     codes[ends] = EDGE
     since = np.arange(len(text)) - np.repeat(ends - sizes + 1, sizes)
-    grams = codes.copy()
+    grams, edges = [np.zeros(len(text), np.uint64), codes], [np.zeros(1, np.uint64), np.full(1, EDGE, np.uint64)]
     for back in range(1, ORDER):
         before = np.full(len(text), EDGE, np.uint64)
         inside = since >= back
         before[inside] = codes[np.flatnonzero(inside) - back]
-        grams |= before << np.uint64(BITS * back)
-    return grams, sizes
+        grams.append(_longer(grams[-1], before))
+        edges.append(_longer(edges[-1], np.full(1, EDGE, np.uint64)))
+    contexts = [None] + [np.where(since > 0, np.roll(grams[k], 1), edges[k]) for k in range(ORDER)]
+    return grams, contexts, sizes
 
 
 class Table:
@@ -82,82 +95,95 @@ class Table:
         return np.where(self.hashes[at] == hashes, at, -1)
 
 
-class LanguageModel:
-    """Kneser-Ney models of several languages over one alphabet."""
+class Block:
+    """Kneser-Ney models of some languages, from their counts by order."""
 
-    def __init__(self, counts: dict[str, Counter]):
-        self.languages = sorted(counts)
-        seen = Counter()
-        for words in counts.values():
-            for word, n in words.items():
-                for c in word:
-                    seen[c] += n
-        alphabet = sorted(c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: (1 << BITS) - 2])
-        self.known = np.array([ord(c) for c in alphabet] or [0], np.uint32)
-        self.number = np.arange(2, len(self.known) + 2, dtype=np.uint64)
-        self.limits = np.full(len(self.languages), np.inf)
-        tables = [self._counts(counts[name]) for name in self.languages]
-        n = len(self.languages)
-        if not n:
-            return
-        uniform = 1.0 / (len(alphabet) + 2)
+    def __init__(self, tables: list[dict], uniform: float):
+        n = len(tables)
         lower_grams, lower = np.zeros(1, np.uint64), np.full((1, n), uniform)
+        self.n, self.floor = n, np.log(uniform)
         self.grams, self.weights = [None], [None]
         for order in range(1, ORDER + 1):
-            union = np.unique(np.concatenate([t[order][0] for t in tables]))
-            contexts = np.unique(union >> np.uint64(BITS))
-            mask = np.uint64((1 << BITS * (order - 1)) - 1)
-            below = lower[np.searchsorted(lower_grams, union & mask)]
+            every, _, suffixes, before = (np.concatenate(x) for x in zip(*(t[order] for t in tables)))
+            union, at = np.unique(every, return_index=True)
+            suffixes, before = suffixes[at], before[at]
+            contexts = np.unique(before)
+            below = lower[np.searchsorted(lower_grams, suffixes)]
             value, weight = np.empty((len(union), n)), np.ones((len(contexts), n))
             for k, table in enumerate(tables):
-                grams, count = table[order]
+                grams, count, _, context = table[order]
                 ones, twos = (count == 1).sum(), (count == 2).sum()
                 discount = ones / (ones + 2 * twos) if ones else 0.5
-                own, inverse = np.unique(grams >> np.uint64(BITS), return_inverse=True)
+                own, inverse = np.unique(context, return_inverse=True)
                 total, kinds = np.bincount(inverse, count, len(own)), np.bincount(inverse, minlength=len(own))
                 at = np.searchsorted(contexts, own)
                 weight[at, k] = np.maximum(discount * kinds / total, 1e-9)
                 value[:, k] = 0
                 value[np.searchsorted(union, grams), k] = np.maximum(count - discount, 0) / total[inverse]
-            value += weight[np.searchsorted(contexts, union >> np.uint64(BITS))] * below
+            value += weight[np.searchsorted(contexts, before)] * below
             self.grams.append(Table(union, np.log(value)))
             self.weights.append(Table(contexts, np.log(weight)))
             lower_grams, lower = union, value
-        self.floor = np.log(uniform)
 
-    def _counts(self, words: Counter):
-        """Counts by order: of occurrences at the top, of left extensions below."""
-        runs = list(words)
-        grams, sizes = _grams(runs, self.number, self.known)
-        times = np.repeat(np.fromiter(words.values(), np.int64, len(runs)), sizes)
-        kinds, inverse = np.unique(grams, return_inverse=True)
-        tables = {ORDER: (kinds, np.bincount(inverse, times))}
-        for order in range(ORDER - 1, 0, -1):
-            mask = np.uint64((1 << BITS * order) - 1)
-            kinds, count = np.unique(tables[order + 1][0] & mask, return_counts=True)
-            tables[order] = (kinds, count)
-        return tables
-
-    def word_scores(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Log-probability of each run in each language, and its symbols."""
-        grams, sizes = _grams(runs, self.number, self.known)
-        value = np.zeros((len(grams), len(self.languages)), np.float32)
-        left = np.arange(len(grams))
+    def scores(self, grams, contexts, sizes) -> np.ndarray:
+        """Log-probability of each run in each language."""
+        value = np.zeros((len(grams[1]), self.n), np.float32)
+        left = np.arange(len(value))
         for order in range(ORDER, 0, -1):
-            own = grams[left] & np.uint64((1 << BITS * order) - 1)
-            at = self.grams[order].find(own)
+            at = self.grams[order].find(grams[order][left])
             hit = at >= 0
             value[left[hit]] += self.grams[order].rows[at[hit]]
-            left, own = left[~hit], own[~hit]
+            left = left[~hit]
             if not left.size:
                 break
-            at = self.weights[order].find(own >> np.uint64(BITS))
+            at = self.weights[order].find(contexts[order][left])
             met = at >= 0
             value[left[met]] += self.weights[order].rows[at[met]]
         value[left] += self.floor
-        return sums_by_row(value, sizes), sizes
+        return sums_by_row(value, sizes)
 
 
+class LanguageModel:
+    """Kneser-Ney models of several languages over one alphabet."""
+
+    def __init__(self, counts: dict[str, Counter]):
+        self.languages = sorted(counts)
+        alphabet = sorted({c for words in counts.values() for word in words for c in word})
+        self.known = np.array([ord(c) for c in alphabet] or [0], np.uint32)
+        self.number = np.arange(2, len(self.known) + 2, dtype=np.uint64)
+        self.limits = np.full(len(self.languages), np.inf)
+        uniform = 1.0 / (len(alphabet) + 2)
+        self.blocks = [
+            Block([self._counts(counts[name]) for name in self.languages[at : at + BLOCK]], uniform)
+            for at in range(0, len(self.languages), BLOCK)]
+
+    @property
+    def grams(self) -> list:
+        """N-grams by order, of the first block."""
+        return self.blocks[0].grams
+
+    def share(self, size: int) -> int:
+        """A size for what grows with the number of languages."""
+        return max(1, size * FULL_SIZE // max(FULL_SIZE, len(self.languages)))
+
+    def _counts(self, words: Counter):
+        """By order: n-grams, counts (of occurrences at the top, of left extensions below), suffixes, contexts."""
+        runs = list(words)
+        grams, contexts, sizes = _grams(runs, self.number, self.known)
+        times = np.repeat(np.fromiter(words.values(), np.int64, len(runs)), sizes)
+        kinds, first, inverse = np.unique(grams[ORDER], return_index=True, return_inverse=True)
+        tables = {ORDER: (kinds, np.bincount(inverse, times), grams[ORDER - 1][first], contexts[ORDER][first])}
+        for order in range(ORDER - 1, 0, -1):
+            kinds, at, count = np.unique(grams[order][first], return_index=True, return_counts=True)
+            first = first[at]
+            tables[order] = (kinds, count, grams[order - 1][first], contexts[order][first])
+        return tables
+
+    def word_scores(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log-probability of each run in each language, and its symbols."""
+        grams, contexts, sizes = _grams(runs, self.number, self.known)
+        return np.concatenate([b.scores(grams, contexts, sizes) for b in self.blocks], axis=1), sizes
+
     def noise_entropy(self, language: str, words: Counter) -> float:
         """Mean entropy, in its language, of the words' letters in random order."""
         runs = sorted(words)
@@ -165,8 +191,10 @@ class LanguageModel:
         np.random.default_rng(7).shuffle(letters)
         cuts = np.cumsum([0, *map(len, runs)]).tolist()
         mixed = "".join(letters.tolist())
-        sums, sizes = self.word_scores([mixed[a:b] for a, b in zip(cuts, cuts[1:])])
-        return float(-sums[:, self.languages.index(language)].sum() / max(1, sizes.sum()))
+        at = self.languages.index(language)
+        grams, contexts, sizes = _grams([mixed[a:b] for a, b in zip(cuts, cuts[1:])], self.number, self.known)
+        sums = self.blocks[at // BLOCK].scores(grams, contexts, sizes)
+        return float(-sums[:, at % BLOCK].sum() / max(1, sizes.sum()))
 
 
 class Scorer:
@@ -175,7 +203,7 @@ class Scorer:
     def __init__(self, model: LanguageModel):
         self.model = model
         self.sums, self.symbols = Rows(len(model.languages)), Rows(dtype=np.int64)
-        self.memo = WordMemo(self._compute, self._reset, MEMO_WORDS)
+        self.memo = WordMemo(self._compute, self._reset, model.share(MEMO_WORDS))
 
     def _reset(self):
         self.sums.clear()
@@ -234,20 +262,22 @@ def _count_words(batches):
 
 
 def train(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text",
-          lang_col: str = "lang") -> LanguageModel:
+          lang_col: str = "lang", total: int = SAMPLE_TOTAL) -> LanguageModel:
     """Models from a bounded sample of the rows that are not held out.
 
-    ``sample`` texts of each language on average, drawn by a hash of the id at a
-    rate set by the language's count; word counts are summed on the executors
-    and only those of the sample come to the driver.
+    ``sample`` texts of each language on average, or an equal share of ``total``
+    if there are many languages, but not fewer than ``LEAST_TEXTS``; drawn by a
+    hash of the id at a rate set by the language's count. Word counts are summed
+    on the executors and only those of the sample come to the driver.
     """
     known = docs.select(
         docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"),
         docs[lang_col].cast("string").alias("lang"))
     known = known.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(~is_held_out(F.col("doc_id")))
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not sizes:
         return LanguageModel({})
+    sample = min(sample, max(LEAST_TEXTS, total // len(sizes)))
     rates = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, int((1 << 30) * min(1.0, sample / r.n)))])
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.coalesce(rates[F.col("lang")], F.lit(0))
     chosen = stored(known.where(drawn))
@@ -259,7 +289,7 @@ def train(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, id_col: str = "doc
     def own_entropy(batches):
         scorer, place = Scorer(model), {k: i for i, k in enumerate(model.languages)}
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=model.share(SLICE_BYTES)):
                 entropy, symbols = scorer.entropies(texts_of(part))
                 at = np.array([place.get(k, 0) for k in part.column("lang").to_pylist()])
                 yield pa.RecordBatch.from_arrays(
@@ -282,7 +312,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     def predict(batches):
         scorer = Scorer(model)  # bounded by the sample
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=model.share(SLICE_BYTES)):
                 name, score, entropy, rejected = scorer.predict(texts_of(part))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("held_out"), pa.array(name, pa.string()), pa.array(score),
@@ -298,7 +328,7 @@ def accepted(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
     def keep(batches):
         scorer = Scorer(model)
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, text_col, model.share(SLICE_BYTES)):
                 yield part.filter(pa.array(~scorer.predict(texts_of(part, text_col))[3], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

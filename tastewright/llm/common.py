@@ -21,6 +21,11 @@ MEMO_WORDS = 400_000
 WORD_BITS = 21
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever characters it has."""
+    return f"`{name.replace('`', '``')}`"
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, text)`` of any table; other columns are left behind."""
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))

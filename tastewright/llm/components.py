@@ -6,27 +6,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tastewright.llm.common import stored
+from tastewright.operators.lookup import lookup
 
 
-def _state(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("a", "b") % 1000003), F.lit(0)).alias("s")).first()
-    return row.n, row.s
+def _state(edges: DataFrame) -> tuple:
+    """Number of edges, and whole sums of two 64-bit hashes of them."""
+    sums = (F.sum(F.xxhash64(*pair).cast("decimal(20,0)")) for pair in (("a", "b"), ("b", "a")))
+    return tuple(edges.agg(F.count("*"), *sums).first())
 
 
 def _stars(edges: DataFrame, larger_only: bool) -> DataFrame:
     """Each node's neighbours tied to the smallest of them and itself.
 
-    The minimum is pre-aggregated and unique by node, so the join that follows
-    can be split where a node has very many neighbours.
+    The minimum is pre-aggregated and unique by node; the join with it goes by
+    ``lookup``, so that the links of a node with very many are split over tasks.
     """
     # a > b in every stored edge
     if larger_only:
         sides = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = sides.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        met = sides.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        met = lookup(sides.where("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         least = edges.groupBy("a").agg(F.min("b").alias("m"))
-        met = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least)
+        met = lookup(edges, least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least)
     return met.where("a <> b").distinct()
 
 

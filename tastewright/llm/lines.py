@@ -6,8 +6,9 @@ lower case. Keys of at least ``min_chars`` code points found in at least
 
 Defined results: a null or empty text is one empty line. Rows of equal id count
 as one document; each row keeps its own lines. Rows without an id are neither
-counted nor changed. An empty table gives an empty table. Other columns pass
-through, whatever their names.
+counted nor changed. Lines and texts of any length are taken whole. Of documents
+that tie for the largest id, all rows keep the line. An empty table gives an
+empty table. Other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tastewright.llm.common import id_and_text, slices, stored, texts_of
+from tastewright.llm.common import id_and_text, quoted, slices, stored, texts_of
 
 SPACE = b" \t\n\x0b\x0c\r"
 KEYS = "hi long, lo long, doc_id long, sig long, line int"
@@ -193,7 +194,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     signed = id_and_text(docs, id_col, text_col).withColumn("sig", F.xxhash64("text"))
     bitmaps = keep_bitmaps(dropped_lines(line_keys(signed, min_chars), min_docs))
     whole = docs.select(
-        F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("long").alias("doc_id"),
+        F.struct(*[docs[quoted(c)] for c in docs.columns]).alias("row"), docs[id_col].cast("long").alias("doc_id"),
         docs[text_col].cast("string").alias("text"), F.xxhash64(docs[text_col].cast("string")).alias("sig"))
     joined = whole.join(bitmaps, ["doc_id", "sig"], "left").select("row", "text", "keep")
     schema = T.StructType([

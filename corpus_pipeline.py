@@ -3,8 +3,10 @@
 Each stage is ``function(spark, docs, sf_dir)`` and works on all its predecessor
 kept. All but the last return the columns of ``documents``. Null and empty texts
 are rejected by the first stage, as they have no letter. Rows of equal id are
-one document; rows without an id stay wherever an id would decide. Extra columns
-pass through, an empty table goes through as one.
+judged each for itself; those of equal id and text are one document. Rows without
+an id keep their lines; as copies they come after those with one. Very long texts
+are taken whole. Extra columns pass through under any name, an empty table goes
+through as one.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastewright.llm import decontaminate, language, lines, near_copies, sentencepiece
+from tastewright.llm import decontaminate, language, lines, sentencepiece, simhash
 from tastewright.session import written_table
 
 
@@ -39,10 +41,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near copies: 0.8 of the five-word shingles or more."""
-    groups = near_copies.near_groups(docs)
-    others = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    """Keep the first document of each group of fingerprints: three-word shingles, two differing bits or fewer."""
+    return simhash.one_of_each(docs, size=3, radius=2)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from tastewright.llm import (
-    decontaminate, language, lines, quality, secrets, sentencepiece, simhash, suffixes, token_file, toxicity)
+    decontaminate, language, lines, periods, quality, secrets, sentencepiece, simhash, suffixes, token_file, toxicity)
 
 
 def _table(spark, folder, name="documents"):
@@ -60,6 +60,35 @@ def op10_suffix_dedup(spark, folder):
     return suffixes.remove_repeats(_table(spark, folder))
 
 
+def _with_planted_runs(documents):
+    """Documents, in one of ten of which the words from some place on repeat with some period."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def planted(words):
+        n = F.size(words)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")
+        return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, place(i))), " ")
+
+    # The list of words is bound once, as an array of one.
+    words = F.array(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    text = F.transform(words, lambda w: F.when(F.size(w) > 0, planted(w)))[0]
+    return documents.select("doc_id", F.when(h % 10 == 0, text).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark, folder):
+    found = periods.periodic_runs(_with_planted_runs(_table(spark, folder)))
+    told = F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period))
+    best = found.select("*", periods.strongest(F.col("runs")).alias("best"))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(told, lambda t: F.concat(t, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words")
+
+
 def pipeline(spark, folder):
     import corpus_pipeline
 
@@ -120,6 +149,7 @@ def queries():
         "op8_toxicity": op8_toxicity,
         "op9_secrets": op9_secrets,
         "op10_suffix_dedup": op10_suffix_dedup,
+        "op12_periodic_runs": op12_periodic_runs,
         "pipeline": pipeline,
     }
 

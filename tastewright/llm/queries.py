@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from tastewright.llm import (
-    decontaminate, language, lines, periods, quality, secrets, sentencepiece, simhash, suffixes, token_file, toxicity)
+    decontaminate, language, lines, periods, quality, secrets, sentencepiece, simhash, suffixes, token_file, toxicity,
+    whitening)
 
 
 def _table(spark, folder, name="documents"):
@@ -60,6 +61,10 @@ def op10_suffix_dedup(spark, folder):
     return suffixes.remove_repeats(_table(spark, folder))
 
 
+def op11_whitening(spark, folder):
+    return whitening.whiten(_table(spark, folder, "embeddings"))
+
+
 def _with_planted_runs(documents):
     """Documents, in one of ten of which the words from some place on repeat with some period."""
     h = F.crc32(F.col("doc_id").cast("string"))
@@ -149,6 +154,7 @@ def queries():
         "op8_toxicity": op8_toxicity,
         "op9_secrets": op9_secrets,
         "op10_suffix_dedup": op10_suffix_dedup,
+        "op11_whitening": op11_whitening,
         "op12_periodic_runs": op12_periodic_runs,
         "pipeline": pipeline,
     }

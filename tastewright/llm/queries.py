@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from tastewright.llm import (
-    decontaminate, language, lines, periods, quality, secrets, sentencepiece, simhash, suffixes, token_file, toxicity,
+    decontaminate, language, lines, mixing, periods, quality, secrets, sentencepiece, simhash, suffixes, token_file, toxicity,
     whitening)
 
 
@@ -94,6 +94,10 @@ def op12_periodic_runs(spark, folder):
         F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words")
 
 
+def op13_mixing(spark, folder):
+    return mixing.mixed_documents(_table(spark, folder))
+
+
 def pipeline(spark, folder):
     import corpus_pipeline
 
@@ -156,6 +160,7 @@ def queries():
         "op10_suffix_dedup": op10_suffix_dedup,
         "op11_whitening": op11_whitening,
         "op12_periodic_runs": op12_periodic_runs,
+        "op13_mixing": op13_mixing,
         "pipeline": pipeline,
     }
 

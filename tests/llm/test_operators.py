@@ -172,7 +172,7 @@ def test_token_file(spark, odd, none):
     for r in found:
         assert r.start == at and r.ids_crc32 in [zlib.crc32(x.tobytes()) for x in texts[r.doc_id]]
         at += r.n_tokens
-    packed = token_file.TokenFile(bytes(files.orderBy("part", "seq").first().data))
+    packed = token_file.TokenFile.of_row(files.orderBy("part", "seq").first().asDict())
     assert [packed.token(i) for i in range(packed.n_ids)] == packed.all().tolist()
     assert token_file.read_token_files(token_file.write_token_files(none, path)).count() == 0
 

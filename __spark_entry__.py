@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,28 +23,38 @@ from tastewright.operators import (
     score,
     search_many,
     search_titles,
+    store_titles,
     title_map,
     top_items,
     top_scored,
     train,
     training_set,
 )
-from tastewright.plans import recommend, recommend_for_session, recommend_for_sessions, recommend_many
+from tastewright.plans import (
+    check_lists,
+    plain_lists,
+    recommend,
+    recommend_for_session,
+    recommend_for_sessions,
+    recommend_many,
+)
 from tastewright.schemas import PRESETS
+from tastewright.session import shared_path
 from tastewright.sources import (
     catalogue_table,
     new_ratings,
     parse_items,
     parse_ratings,
     ratings_table,
+    read_items,
+    read_ratings,
     submissions_table,
 )
 
-# Queries on training text come with a subpackage that may be absent.
-_llm = find_spec("tastewright.llm")
-if _llm is not None and _llm.origin:
+# Queries on training text come with a subpackage that may be absent, as may its codecs.
+try:
     from tastewright.llm import queries as text_queries
-else:
+except ImportError:
     text_queries = None
 
 # What the person asking rated in this session.
@@ -114,6 +123,28 @@ def parse_items_naive_query(spark, folder):
     return parse_items(_item_lines(spark, folder), dialect="naive_split")
 
 
+def _as_text(lines: DataFrame) -> str:
+    """Lines written as text files, for the readers of files."""
+    path = shared_path(lines.sparkSession)
+    lines.select("value").write.text(path)
+    return path
+
+
+def read_ratings_query(spark, folder):
+    return read_ratings(spark, _as_text(_rating_lines(spark, folder)))
+
+
+def read_items_query(spark, folder):
+    return read_items(spark, _as_text(_item_lines(spark, folder)))
+
+
+def title_map_files_query(spark, folder):
+    """The last line of a title wins: files hold the catalogue by falling id."""
+    items = catalogue_table(spark, folder).orderBy(F.desc("item_id"))
+    path = _as_text(items.select(F.concat_ws(",", "item_id", "title").alias("value")))
+    return title_map(read_items(spark, path, with_order=True))
+
+
 def numeric_text_query(spark, folder):
     return submissions_table(spark, folder).groupBy(
         to_number(F.col("rating_text")).alias("number")
@@ -163,6 +194,20 @@ def search_many_query(spark, folder):
     return search_many(catalogue_table(spark, folder), typed.union(part.select("p_brand")))
 
 
+def _stored_titles(spark, folder):
+    return store_titles(catalogue_table(spark, folder), shared_path(spark))
+
+
+def search_stored_query(spark, folder):
+    return search_titles(_stored_titles(spark, folder), "RED", positions=True)
+
+
+def search_many_stored_query(spark, folder):
+    part = spark.read.parquet(f"{folder}/part.parquet")
+    typed = part.select(F.upper(F.split("p_name", " ")[0]).alias("prefix"))
+    return search_many(_stored_titles(spark, folder), typed.union(part.select("p_brand")))
+
+
 def capture_ratings_query(spark, folder):
     return _captured(spark, folder)
 
@@ -256,6 +301,40 @@ def recommend_many_query(spark, folder):
     return ranked
 
 
+def training_time_query(spark, folder):
+    """The time a fit tells: positive, of three places."""
+    everything = training_set(ratings_table(spark, folder), new_ratings(spark, SESSION))
+    seconds = train(everything, iterations=1).seconds
+    return everything.agg(
+        F.count("*").alias("n_ratings"),
+        F.any_value(F.lit(seconds > 0 and seconds == round(seconds, 3))).alias("ok"),
+    )
+
+
+def _flagship_checked(spark, folder, min_ratings):
+    """The list of the person asking, against every item scored and filtered late."""
+    ratings, items, new = ratings_table(spark, folder), catalogue_table(spark, folder), new_ratings(spark, SESSION)
+    listed, model = recommend_for_session(ratings, items, new, min_ratings)
+    return check_lists(listed, plain_lists(model, item_stats(ratings), items, new, new, min_ratings))
+
+
+def recommend_top5_checked_query(spark, folder):
+    return _flagship_checked(spark, folder, MOVIES)
+
+
+def recommend_top5_electronics_checked_query(spark, folder):
+    return _flagship_checked(spark, folder, ELECTRONICS)
+
+
+def recommend_many_checked_query(spark, folder):
+    """All lists are made; those of users whose id is divisible by 20 are checked."""
+    ratings, items, new = ratings_table(spark, folder), catalogue_table(spark, folder), _captured(spark, folder)
+    listed, model = recommend_for_sessions(ratings, items, new, MOVIES)
+    asked = F.col("user_id") % 20 == 0
+    expected = plain_lists(model, item_stats(ratings), items, new, new.where(asked), MOVIES)
+    return check_lists(listed.where(asked), expected)
+
+
 def format_list_query(spark, folder):
     return format_list(support_topk_query(spark, folder))
 
@@ -314,6 +393,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "parse_ratings_naive": parse_ratings_naive_query,
         "parse_items": parse_items_query,
         "parse_items_naive": parse_items_naive_query,
+        "read_ratings": read_ratings_query,
+        "read_items": read_items_query,
+        "title_map_files": title_map_files_query,
         "numeric_text": numeric_text_query,
         "dataset_summary": dataset_summary_query,
         "item_stats": item_stats_query,
@@ -324,6 +406,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "search_titles": search_titles_query,
         "search_hits": search_hits_query,
         "search_many": search_many_query,
+        "search_stored": search_stored_query,
+        "search_many_stored": search_many_stored_query,
         "capture_ratings": capture_ratings_query,
         "candidates": candidates_query,
         "support_topk": support_topk_query,
@@ -336,6 +420,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "recommend_top5": recommend_top5_query,
         "recommend_top5_electronics": recommend_top5_electronics_query,
         "recommend_many": recommend_many_query,
+        "training_time": training_time_query,
+        "recommend_top5_checked": recommend_top5_checked_query,
+        "recommend_top5_electronics_checked": recommend_top5_electronics_checked_query,
+        "recommend_many_checked": recommend_many_checked_query,
         "format_list": format_list_query,
         "format_list_users": format_list_users_query,
         "title_map_ordered": title_map_ordered_query,
@@ -395,8 +483,37 @@ def oracle_sql() -> dict[str, str]:
               SELECT CAST(0 AS INT) AS user_id, i.item_id, title, {DOT} AS prediction, n_ratings
               FROM i JOIN st ON i.item_id = st.item_id JOIN embeddings v ON v.vec_id = i.item_id
               JOIN embeddings w ON w.vec_id = 0 WHERE i.item_id NOT IN (SELECT item_id FROM n)) {listed}"""
+    session_checked = f"""WITH {R}, {I}, {N}, {ST}
+        SELECT CAST(0 AS INT) AS user_id, least(5, count(*)) AS n_listed, TRUE AS ok
+        FROM i JOIN st ON i.item_id = st.item_id WHERE n_ratings >= MIN AND i.item_id NOT IN (SELECT item_id FROM n)
+        HAVING count(*) > 0"""
+    words = """typed AS (SELECT upper(split_part(p_name, ' ', 1)) AS prefix FROM part
+                      UNION SELECT p_brand FROM part)"""
+    search_red = f"""WITH {I}
+            SELECT row_number() OVER (ORDER BY lower(title), item_id) AS position, title, item_id
+            FROM i WHERE starts_with(lower(title), 'red')"""
+    search_words = f"""WITH {I}, {words}
+            SELECT prefix, row_number() OVER (PARTITION BY prefix ORDER BY lower(title), item_id) AS position,
+                   title, item_id
+            FROM typed JOIN i ON starts_with(lower(title), lower(prefix))"""
     return {
         "parse_ratings": f"WITH {R} SELECT * FROM r",
+        "read_ratings": f"WITH {R} SELECT * FROM r",
+        "read_items": """SELECT CAST(p_partkey AS INT) AS item_id,
+            p_name || ', The (' || p_brand || ')' AS title FROM part""",
+        "title_map_files": f"WITH {I} SELECT title, min(item_id) AS item_id FROM i GROUP BY title",
+        "search_stored": search_red,
+        "search_many_stored": search_words,
+        "training_time": f"""WITH {R}, {N}
+            SELECT count(*) AS n_ratings, TRUE AS ok FROM (SELECT * FROM r UNION ALL SELECT * FROM n)""",
+        "recommend_top5_checked": session_checked.replace("MIN", str(MOVIES)),
+        "recommend_top5_electronics_checked": session_checked.replace("MIN", str(ELECTRONICS)),
+        "recommend_many_checked": f"""WITH {R}, {I}, {TM}, {SUB}, {ST}, {numbers}, {captured},
+            able AS (SELECT item_id FROM st WHERE n_ratings >= {MOVIES}),
+            gone AS (SELECT user_id, count(DISTINCT cap.item_id) FILTER (WHERE able.item_id IS NOT NULL) AS n
+                     FROM cap LEFT JOIN able ON able.item_id = cap.item_id WHERE user_id % 20 = 0 GROUP BY user_id)
+            SELECT user_id, least(5, (SELECT count(*) FROM able) - n) AS n_listed, TRUE AS ok FROM gone
+            WHERE (SELECT count(*) FROM able) > n""",
         "parse_ratings_naive": f"WITH {R} SELECT * FROM r",
         "parse_items": """SELECT CAST(p_partkey AS INT) AS item_id,
             p_name || ', The (' || p_brand || ')' AS title FROM part""",
@@ -412,16 +529,9 @@ def oracle_sql() -> dict[str, str]:
         "title_map": f"WITH {I}, {TM} SELECT * FROM tm",
         "list_titles": f"""WITH {I}
             SELECT row_number() OVER (ORDER BY lower(title), item_id) AS position, title, item_id FROM i""",
-        "search_titles": f"""WITH {I}
-            SELECT row_number() OVER (ORDER BY lower(title), item_id) AS position, title, item_id
-            FROM i WHERE starts_with(lower(title), 'red')""",
+        "search_titles": search_red,
         "search_hits": f"WITH {I} SELECT title, item_id FROM i WHERE starts_with(lower(title), 'red')",
-        "search_many": f"""WITH {I},
-            typed AS (SELECT upper(split_part(p_name, ' ', 1)) AS prefix FROM part
-                      UNION SELECT p_brand FROM part)
-            SELECT prefix, row_number() OVER (PARTITION BY prefix ORDER BY lower(title), item_id) AS position,
-                   title, item_id
-            FROM typed JOIN i ON starts_with(lower(title), lower(prefix))""",
+        "search_many": search_words,
         "capture_ratings": f"""WITH {I}, {TM}, {SUB}, {numbers}
             SELECT user_id, item_id, number AS rating FROM numbers JOIN tm ON numbers.title = tm.title
             WHERE numbers.title <> '' AND number > 0 AND number < 6""",

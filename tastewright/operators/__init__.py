@@ -1,6 +1,6 @@
 from tastewright.operators.candidates import candidates, supported_items, unrated
 from tastewright.operators.capture import capture_ratings
-from tastewright.operators.catalogue import list_titles, search_many, search_titles, title_map
+from tastewright.operators.catalogue import list_titles, search_many, search_titles, store_titles, title_map
 from tastewright.operators.lookup import lookup
 from tastewright.operators.ranking import (
     add_titles,
@@ -40,6 +40,7 @@ __all__ = [
     "score_items",
     "search_many",
     "search_titles",
+    "store_titles",
     "supported_items",
     "title_map",
     "top_items",

@@ -1,3 +1,4 @@
+from tastewright.plans.checking import check_lists, plain_lists
 from tastewright.plans.recommendation import (
     RatingSession,
     recommend,
@@ -8,6 +9,8 @@ from tastewright.plans.recommendation import (
 
 __all__ = [
     "RatingSession",
+    "check_lists",
+    "plain_lists",
     "recommend",
     "recommend_for_session",
     "recommend_for_sessions",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 from uuid import uuid4
@@ -50,20 +51,32 @@ def use_checkpoint_folder(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the checkpoint folder; what is written there goes when Python ends, if not before."""
+    use_checkpoint_folder(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid4()}"
+    atexit.register(_drop_at_exit, spark, path)
+    return path
+
+
 def written_table(rows: DataFrame, **options) -> tuple[DataFrame, str]:
     """``rows`` as a parquet table in the checkpoint folder, and its path.
 
     Like a checkpoint, but compressed, and read back by column. ``options`` go
     to the writer.
     """
-    spark = rows.sparkSession
-    use_checkpoint_folder(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid4()}"
+    path = shared_path(rows.sparkSession)
     rows.write.options(**options).parquet(path)
-    return spark.read.parquet(path), path
+    return rows.sparkSession.read.parquet(path), path
 
 
 def drop_written_table(spark: SparkSession, path: str) -> None:
     context = spark.sparkContext
     target = context._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _drop_at_exit(spark: SparkSession, path: str) -> None:
+    # A session may be stopped and its JVM gone by then; the folder's owner clears what is left.
+    with contextlib.suppress(Exception):
+        drop_written_table(spark, path)

@@ -1,8 +1,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from tastewright.operators import list_titles, search_many, search_titles
+from tastewright.operators import list_titles, search_many, search_titles, store_titles
 from tastewright.schemas import ITEM
 
 
@@ -71,3 +72,46 @@ def test_search_many(spark):
         hits = [r for r in items if r[1].lower().startswith(text.lower())]
         found = [tuple(r)[1:] for r in result.where(result.prefix == text).orderBy("position").collect()]
         assert found == expected(hits)
+
+
+WORDS = ["red ring", "Redwood", "blue", "ÄB one", "aRED", "100% x", "r", "", "red", "RED\U0010ffff", "red\U0010ffff\U0010ffffx", "re", "rf"]
+
+
+@pytest.mark.parametrize("prefix", ["RED", "", "äb", "none", "100%", "red\U0010ffff", "r"])
+def test_search_of_a_stored_catalogue(spark, tmp_path, prefix):
+    items = [*enumerate(WORDS), *enumerate(WORDS)]
+    stored = store_titles(spark.createDataFrame(items, ITEM).repartition(4), f"{tmp_path}/titles")
+    hits = [r for r in items if r[1].lower().startswith(prefix.lower())]
+    assert listed(search_titles(stored, prefix, positions=True)) == expected(hits)
+    assert [tuple(r) for r in search_titles(stored, prefix).collect()] == [r[1:] for r in expected(hits)]
+
+
+def test_a_stored_catalogue_is_read_by_range(spark, tmp_path):
+    titles = spark.range(40_000, numPartitions=4).select(
+        F.col("id").cast("int").alias("item_id"), F.sha2(F.col("id").cast("string"), 256).alias("title"))
+    stored = store_titles(titles, f"{tmp_path}/titles", **{"parquet.block.size": "65536"})
+    found = search_titles(stored, "ABC")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    filters = plan[plan.index("PushedFilters"):].splitlines()[0]
+    assert "GreaterThanOrEqual(start,abc)" in filters and "StringStartsWith(start,abc)" in filters
+    assert found.count() == titles.where("title LIKE 'abc%'").count() > 0
+    # Rows that a task is handed are those of row groups the range touches.
+    seen = stored.where((F.col("start") >= "abc") & F.col("start").startswith("abc"))
+    seen.collect()
+    scan = seen._jdf.queryExecution().executedPlan()
+    while scan.children().size():
+        scan = scan.children().head()
+    assert scan.metrics().get("numOutputRows").get().value() < 20_000
+
+
+def test_search_many_of_a_stored_catalogue(spark, tmp_path):
+    items = spark.createDataFrame([*enumerate(WORDS), *enumerate(WORDS)], ITEM)
+    typed = spark.createDataFrame([(t,) for t in ["red", "RED", "", "äb", "none", "r", None]], "prefix string")
+    plain = search_many(items, typed).collect()
+    stored = store_titles(items, f"{tmp_path}/titles")
+    assert sorted(map(tuple, search_many(stored, typed).collect())) == sorted(map(tuple, plain))
+
+
+def test_store_an_empty_catalogue(spark, tmp_path):
+    stored = store_titles(spark.createDataFrame([], ITEM), f"{tmp_path}/titles")
+    assert search_titles(stored, "a", positions=True).count() == 0

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,6 +115,7 @@ def test_unique_items(spark, world):
 @pytest.mark.parametrize("k", [1, 4, 60])
 def test_top_items_by_blocks(spark, monkeypatch, k, size, at_once):
     monkeypatch.setattr(scoring, "SCORES_AT_ONCE", at_once)
+    monkeypatch.setattr(scoring, "ITEMS_AT_ONCE", 3 if at_once == 100 else 1024)
     users, items = vectors(11, 2, seed=5), vectors(50, 2, seed=6)
     random.seed(2)
     seen = [(u, random.randrange(60)) for u in range(9) for _ in range(20)]
@@ -146,6 +148,32 @@ def test_equal_scores_do_not_flood(spark):
     assert sorted(r.item_id for r in best.collect()) == [1, 2, 3]
 
 
+@pytest.mark.parametrize("k", [1, 5, 300])
+def test_short_vectors_are_not_multiplied(monkeypatch, k):
+    """Lengths bound the scores: fewer products, the same rows, ties and seen items included."""
+    monkeypatch.setattr(scoring, "ITEMS_AT_ONCE", 50)
+    rng = np.random.default_rng(8)
+    items = np.repeat(rng.normal(size=(1000, 6)), 2, axis=0) * rng.pareto(1.5, 2000).repeat(1)[:, None]
+    items[::7] = items[3]  # equal scores
+    items[5] = 0
+    people = rng.normal(size=(80, 6))
+    people[7] = 0
+    seen = [sorted(set(rng.integers(0, 2100, 60).tolist())) for _ in people]
+    features = pa.list_(pa.float32())
+    items, people = items.astype("float32"), people.astype("float32")
+    users = pa.table({"user_id": pa.array(range(80), pa.int32()), "features": pa.array(people.tolist(), features),
+                      "seen": pa.array(seen, pa.list_(pa.int32()))})
+    order = rng.permutation(2000)
+    pool = pa.table({"item_id": pa.array(order, pa.int32()), "features": pa.array(items[order].tolist(), features)})
+    products = []
+    found = scoring._best_of_block(k, 6, products)(users, pool).to_pylist()
+    scores = (people.astype(float) @ items.astype(float).T).astype("float32")
+    for u in range(80):
+        expected = sorted((-scores[u, i], i) for i in range(2000) if i not in seen[u])[:k]
+        assert [(-r["prediction"], r["item_id"]) for r in found if r["user_id"] == u] == expected
+    assert sum(products) < (0.5 if k <= 5 else 1.01) * 80 * 2000
+
+
 def test_candidates_are_a_bag(spark):
     items = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (3, "c")], ITEM)
     rated = new_ratings(spark, [(0, 2, 1.0), (0, 2, 2.0), (5, 3, 1.0)])

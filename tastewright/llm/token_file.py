@@ -35,11 +35,12 @@ from types import ModuleType
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tastewright.llm.common import Rows, WordMemo, id_and_text, ranges, slices, stored, texts_of
+from tastewright.llm.common import Rows, id_and_text, ranges, slices, stored, texts_of
 from tastewright.operators.lookup import lookup
 from tastewright.session import written_table
 
@@ -47,7 +48,7 @@ END_ID = 0
 FILE_IDS = 1 << 16
 LEVELS = 4  # of 8 bits, for any id of 32
 #: Distinct parts of texts a worker remembers.
-MEMO_PARTS = 900_000
+MEMO_PARTS = 2_000_000
 NO_ID = -(1 << 63)
 #: Bytes of texts that are cut and looked up at once.
 ENCODED_AT_ONCE = 4 << 20
@@ -90,7 +91,7 @@ def word_parts(text: bytes) -> list[bytes]:
 # signs but the apostrophe, single line feeds; a space before belongs to a piece.
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 _ITEM = "(?:[" + _LETTERS + "]+|[0-9]+|[" + re.escape('!"#$%&()*+,-./:;=>?@[\\]^_`{|}~') + "]+)"
-CERTAIN, PIECES = re.compile(f" ?{_ITEM}+(?:\n{_ITEM}+)*\\Z"), re.compile(f" ?{_ITEM}|\n")
+CERTAIN, PIECES = re.compile(f" ?{_ITEM}+(?:\n{_ITEM}+)*\\Z"), re.compile(f" ?{_ITEM}|[\n\0]")
 
 
 def byte_letters() -> dict[int, int]:
@@ -104,7 +105,8 @@ class Encoder:
     """A tokenizer of the tokenizers library, asked once for each distinct part of a text.
 
     Parts that fall into certain pieces go to the library's model piece by piece,
-    other parts through the whole tokenizer.
+    other parts through the whole tokenizer. Known parts are kept by 128-bit hash
+    in sorted arrays, up to ``MEMO_PARTS`` of them.
     """
 
     def __init__(self, json_text: str):
@@ -118,72 +120,107 @@ class Encoder:
         if told.get("normalizer") or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
             raise ValueError("the tokenizer must be byte-level, without a normalizer")
         self.tokenizer = Tokenizer.from_str(json_text)
-        self.model, self.letters, self.pieces = self.tokenizer.model, byte_letters(), {}
-        self.ids, self.starts, self.lengths = Rows(dtype=np.uint32), Rows(dtype=np.int64), Rows(dtype=np.int64)
-        self.memo = WordMemo(self._compute, self._reset, MEMO_PARTS)
-
-    def _reset(self):
-        self.pieces.clear()
-        for rows in (self.ids, self.starts, self.lengths):
-            rows.clear()
-
-    def _compute(self, parts):
-        lists, others, whole = [], [], []
-        known, tokenize, letters = self.pieces, self.model.tokenize, self.letters
-        for part in parts:
-            text = (part[1:] if part[:1] == b" " else b" " + part).decode()
-            if not CERTAIN.match(text):
-                others.append(len(lists))
-                whole.append(text)
-                lists.append(None)
-                continue
-            own = []
-            for piece in PIECES.findall(text):
-                ids = known.get(piece)
-                if ids is None:
-                    ids = [t.id for t in tokenize(piece.encode().decode("latin-1").translate(letters))]
-                    if len(piece) < 12:  # longer ones hardly come again
-                        known[piece] = ids
-                own += ids
-            lists.append(own)
-        for place, encoded in zip(others, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)):
-            lists[place] = encoded.ids
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.ids = Rows(dtype=np.uint32)
+        self._forget()
+
+    def _forget(self):
+        self.ids.clear()
+        self.high, self.low = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def _piece_ids(self, texts: list[str]) -> list[list[int]]:
+        """Ids of texts that are ``CERTAIN``."""
+        pieces = PIECES.findall("\0".join(texts))
+        distinct = [piece for piece in dict.fromkeys(pieces) if piece != "\0"]
+        as_letters = "\0".join(distinct).encode().decode("latin-1").translate(self.letters).split(chr(self.letters[0])) if distinct else []
+        tokenize = self.model.tokenize
+        known = dict(zip(distinct, [[t.id for t in tokenize(letters)] for letters in as_letters]))
+        known["\0"] = None
+        lists, own = [], []
+        for ids in map(known.__getitem__, pieces):
+            if ids is None:
+                lists.append(own)
+                own = []
+            else:
+                own = own + ids if own else ids
+        return [*lists, own]
+
+    def _compute(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of some new parts are kept, and how many each has."""
+        texts = [(p[1:] if p[:1] == b" " else b" " + p).decode() for p in parts]
+        certain = [CERTAIN.match(text) is not None for text in texts]
+        others = [text for text, sure in zip(texts, certain) if not sure]
+        given = [text for text, sure in zip(texts, certain) if sure]
+        by_piece = iter(self._piece_ids(given) if given else ())
+        whole = (e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False))
+        lists = [next(by_piece) if sure else next(whole) for sure in certain]
         lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-        self.starts.extend(self.ids.used + np.cumsum(lengths) - lengths)
-        self.lengths.extend(lengths)
+        starts = self.ids.used + np.cumsum(lengths) - lengths
         self.ids.extend(np.fromiter(chain.from_iterable(lists), np.uint32, int(lengths.sum())))
-
-    def _codes(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Memo numbers of all parts of the texts, and how many parts each has."""
+        return starts, lengths
+
+    def _looked_up(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each part are kept, and how many it has; this holds until the next call."""
+        if len(self.high) > MEMO_PARTS:
+            self._forget()
+        pair = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, parts)), "<u8").reshape(-1, 2)
+        high, low = pair[:, 0], pair[:, 1]
+        at = np.searchsorted(self.high, high)
+        known = at < len(self.high)
+        known[known] = (self.high[at[known]] == high[known]) & (self.low[at[known]] == low[known])
+        starts, lengths = np.empty(len(parts), np.int64), np.empty(len(parts), np.int64)
+        starts[known], lengths[known] = self.starts[at[known]], self.lengths[at[known]]
+        missing = np.flatnonzero(~known)
+        if missing.size:
+            asked = [parts[k] for k in missing.tolist()]
+            fresh = dict.fromkeys(asked)
+            fresh = dict(zip(fresh, range(len(fresh))))
+            which = np.fromiter(map(fresh.__getitem__, asked), np.int64, len(asked))
+            new_starts, new_lengths = self._compute(list(fresh))
+            starts[missing], lengths[missing] = new_starts[which], new_lengths[which]
+            first = np.unique(which, return_index=True)[1]
+            order = first[np.argsort(high[missing][first], kind="stable")]
+            rows, kinds = missing[order], which[order]
+            places = np.searchsorted(self.high, high[rows])
+            self.low, self.starts = np.insert(self.low, places, low[rows]), np.insert(self.starts, places, new_starts[kinds])
+            self.lengths = np.insert(self.lengths, places, new_lengths[kinds])
+            self.high = np.insert(self.high, places, high[rows])
+        return starts, lengths
+
+    def _places(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For all parts of the texts where their ids are kept and how many there are; parts of each text."""
         unsure = [bool(UNSURE.search(text)) for text in texts]
         plain = pc.split_pattern(pa.array([t for t, odd in zip(texts, unsure) if not odd], pa.binary()), " ")
         cuts = plain.offsets.to_numpy().astype(np.int64)
         # each different part is looked up once; the first of a text has no space before it
         encoded = plain.flatten().dictionary_encode()
+        number, kinds = encoded.indices.to_numpy(), encoded.dictionary.to_pylist()
+        firsts = [b" " + kinds[k] for k in number[cuts[:-1]].tolist()]
         merged = [word_parts(t) for t, odd in zip(texts, unsure) if odd]
-        firsts = [b" " + encoded.dictionary[k].as_py() for k in encoded.indices.to_numpy()[cuts[:-1]].tolist()]
-        kinds = encoded.dictionary.to_pylist()
-        codes = self.memo.codes(kinds + firsts + [p for parts in merged for p in parts])
-        own = codes[: len(kinds)][encoded.indices.to_numpy()]
-        own[cuts[:-1]] = codes[len(kinds) : len(kinds) + len(firsts)]
-        rest = codes[len(kinds) + len(firsts) :]
+        found = self._looked_up(kinds + firsts + [p for parts in merged for p in parts])
         odd = np.array(unsure, bool)
         counts = np.zeros(len(texts), np.int64)
         counts[~odd], counts[odd] = np.diff(cuts), [len(parts) for parts in merged]
-        out = np.empty(int(counts.sum()), np.int64)
-        starts = np.cumsum(counts) - counts
-        out[ranges(starts[~odd], counts[~odd])] = own
-        out[ranges(starts[odd], counts[odd])] = rest
-        return out, counts
+        begin = np.cumsum(counts) - counts
+        out = []
+        for values in found:
+            own = values[: len(kinds)][number]
+            own[cuts[:-1]] = values[len(kinds) : len(kinds) + len(firsts)]
+            every = np.empty(int(counts.sum()), np.int64)
+            every[ranges(begin[~odd], counts[~odd])] = own
+            every[ranges(begin[odd], counts[odd])] = values[len(kinds) + len(firsts) :]
+            out.append(every)
+        return *out, counts
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, end ids included, and the number of each text."""
         filled = [text for text in texts if text]
-        codes, some = self._codes(filled) if filled else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         counts = np.zeros(len(texts), np.int64)
-        counts[[k for k, text in enumerate(texts) if text]] = some
-        lengths = self.lengths.data[codes]
-        body = self.ids.data[ranges(self.starts.data[codes], lengths)]
+        starts = lengths = np.zeros(0, np.int64)
+        if filled:
+            starts, lengths, counts[[k for k, text in enumerate(texts) if text]] = self._places(filled)
+        body = self.ids.data[ranges(starts, lengths)]
         ends = np.cumsum(np.r_[0, lengths])[np.cumsum(counts, dtype=np.int64)]
         sizes = np.diff(np.r_[0, ends])
         return np.insert(body, ends, END_ID), sizes + 1

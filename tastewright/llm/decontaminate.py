@@ -7,8 +7,8 @@ any match. An Aho-Corasick automaton finds the pieces; around each hit Myers'
 bit-parallel distance decides.
 
 Defined results: null and empty texts and items match nothing. Repeated items
-count once each, repeated documents get equal rows. Items without an id are
-matched and carry a null id. An empty benchmark matches nothing. Other columns
+count once each, repeated documents get equal rows. Items without an id
+are matched and carry a null id. An empty benchmark matches nothing. Other columns
 pass through or are not read.
 """
 
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tastewright.llm.common import id_and_text, slices, texts_of
+from tastewright.llm.common import id_and_text, slices, stored, texts_of
 
 #: Edits per character of an item.
 ERROR_RATE = 0.06
@@ -161,15 +161,19 @@ def original_places(text: str) -> list[int]:
 
 
 def item_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text",
-                block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int | None, str]]]:
-    """The items in blocks of about ``block_bytes``, drawn by hash; the driver holds one block."""
+                block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[list[tuple[int | None, str]], bool]]:
+    """The items in blocks of about ``block_bytes``, drawn by hash, and whether there are others.
+
+    Where there are, what a block finds is stored before the next one is asked
+    for, so that the driver holds one block.
+    """
     items = benchmark.select(benchmark[item_col].cast("long").alias("item_id"), benchmark[text_col].cast("string").alias("text"))
     items = items.where("text IS NOT NULL")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = -(-total // block_bytes)
     for block in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block)
-        yield [(r.item_id, r.text) for r in part.collect()]
+        yield [(r.item_id, r.text) for r in part.collect()], blocks > 1
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
@@ -200,8 +204,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
 
     texts = id_and_text(docs, id_col, text_col)
     found = None
-    for items in item_blocks(benchmark, block_bytes=block_bytes):
+    for items, several in item_blocks(benchmark, block_bytes=block_bytes):
         one = texts.mapInArrow(finder(items), SCHEMA)
+        one = stored(one) if several else one
         found = one if found is None else found.union(one)
     return found if found is not None else texts.sparkSession.createDataFrame([], SCHEMA)
 
@@ -218,6 +223,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_R
 
         return keep
 
-    for items in item_blocks(benchmark, block_bytes=block_bytes):
+    for items, several in item_blocks(benchmark, block_bytes=block_bytes):
         docs = docs.mapInArrow(keeper(items), docs.schema)
+        docs = stored(docs) if several else docs
     return docs

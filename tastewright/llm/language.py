@@ -6,10 +6,13 @@ hashes, so the alphabet has no limit. Probabilities of a block of languages stan
 side by side in sorted hash arrays, one for each order, already interpolated; an
 n-gram no language of the block has falls back to the next order by the weight of
 its context. The lowest cross-entropy per character
-wins. A document is rejected when even that is far above what the language's own
-training texts have, towards the entropy of words of its letters in random order.
+wins. A document is rejected when even that is far above what texts of the
+language have that were set apart from training: above a place towards the entropy
+of words of its letters in random order, and above the entropy that all but
+``FALSE_REJECTION`` of the set-apart texts keep below.
 
-Defined results: null text or no letter gives ``und``, score 0, rejected.
+Defined results: null text or no letter (by Unicode class) gives ``und``, score 0,
+rejected. Very long texts are taken whole, one at a time.
 Training rows with null text, language or id are left out; if nothing is left
 to learn from, every prediction is ``und``. Equal entropies go to the language that
 sorts first. Repeated rows give equal rows; an empty table gives no rows.
@@ -37,6 +40,8 @@ SAMPLE_TOTAL, LEAST_TEXTS = 25_600, 20
 BLOCK = 16
 #: Languages up to which memos and slices have their full size.
 FULL_SIZE = 64
+#: One in so many sampled texts is set apart for the limits, and the share of them that may be rejected.
+APART, FALSE_REJECTION = 5, 0.005
 #: Where between a language's mean entropy and that of its shuffled letters the limit stands.
 REJECT_AT = 0.7
 #: Letters from which on an entropy is judged.
@@ -47,7 +52,11 @@ MIX, STIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def letter_runs(word: bytes) -> list[str]:
-    return LETTERS.findall(word.decode().lower())
+    """Runs of letters, in lower case; numbers such as fractions or circled ones are none."""
+    runs = LETTERS.findall(word.decode().lower())
+    if all(map(str.isalpha, runs)):
+        return runs
+    return "".join(c if c.isalpha() else " " for c in " ".join(runs)).split()
 
 
 def _longer(grams: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -267,7 +276,8 @@ def train(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, id_col: str = "doc
 
     ``sample`` texts of each language on average, or an equal share of ``total``
     if there are many languages, but not fewer than ``LEAST_TEXTS``; drawn by a
-    hash of the id at a rate set by the language's count. Word counts are summed
+    hash of the id at a rate set by the language's count. One in ``APART`` of the
+    drawn texts is not learnt from: limits come from these. Word counts are summed
     on the executors and only those of the sample come to the driver.
     """
     known = docs.select(
@@ -277,12 +287,12 @@ def train(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, id_col: str = "doc
     sizes = known.groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not sizes:
         return LanguageModel({})
-    sample = min(sample, max(LEAST_TEXTS, total // len(sizes)))
+    sample = min(sample, max(LEAST_TEXTS, total // len(sizes))) * APART / (APART - 1)
     rates = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, int((1 << 30) * min(1.0, sample / r.n)))])
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.coalesce(rates[F.col("lang")], F.lit(0))
-    chosen = stored(known.where(drawn))
+    chosen = stored(known.where(drawn).withColumn("apart", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(APART)) == 0))
     counts = {r.lang: Counter() for r in sizes}
-    for r in chosen.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).collect():
+    for r in chosen.where("NOT apart").mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).collect():
         counts[r.lang][r.word] += r.n
     model = LanguageModel({k: v for k, v in counts.items() if v})
 
@@ -296,11 +306,13 @@ def train(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, id_col: str = "doc
                     [part.column("lang"), pa.array(entropy[np.arange(len(at)), at]), pa.array(symbols)],
                     names=["lang", "entropy", "symbols"])
 
-    for r in chosen.mapInArrow(own_entropy, "lang string, entropy double, symbols long").where(
-            F.col("symbols") >= LEAST_LETTERS).groupBy("lang").agg(F.avg("entropy").alias("mean")).collect():
+    judged = chosen.where("apart").mapInArrow(own_entropy, "lang string, entropy double, symbols long").where(
+        F.col("symbols") >= LEAST_LETTERS).groupBy("lang").agg(
+        F.avg("entropy").alias("mean"), F.percentile("entropy", 1 - FALSE_REJECTION).alias("most"))
+    for r in judged.collect():
         if r.lang in model.languages:
             noise = model.noise_entropy(r.lang, counts[r.lang])
-            model.limits[model.languages.index(r.lang)] = r.mean + REJECT_AT * max(0.0, noise - r.mean)
+            model.limits[model.languages.index(r.lang)] = max(r.most, r.mean + REJECT_AT * max(0.0, noise - r.mean))
     return model
 
 

@@ -6,7 +6,9 @@ only lower a score.
 
 Defined results: null and empty texts have no word, so they fail the base rule.
 Without usable labels the trees are a constant and the base rule decides.
-Repeated rows give equal rows; labels of one id that disagree count as good.
+Repeated rows give equal rows; labels of one id that disagree count as good. A
+score at the limit is kept. Very long texts are taken whole, one at a time. An
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -100,11 +102,15 @@ def _features(batches):
         for part in slices(batch):
             _, features = statistics(texts_of(part), memo)
             yield pa.RecordBatch.from_arrays(
-                [part.column("quality"), pa.array(list(features), pa.list_(pa.float64()))], names=["quality", "features"])
+                [part.column("doc_id"), part.column("quality"), pa.array(list(features), pa.list_(pa.float64()))],
+                names=["doc_id", "quality", "features"])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> BoostedTrees:
-    """Trees from at most some ``sample`` labelled documents; only their features come to the driver."""
+    """Trees from at most some ``sample`` labelled documents; only their features come to the driver.
+
+    Of rows with one id a single text is learnt from, the one with the greatest hash.
+    """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         F.max("quality").cast("int").alias("quality"))
     total = known.count()
@@ -112,8 +118,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)
     # The chosen ids number some ``sample`` whatever the table's size.
     texts = id_and_text(docs, id_col, text_col)
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("text", "quality").mapInArrow(
-        _features, "quality int, features array<double>").collect()
+    own = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(
+        F.max_by("text", F.xxhash64("text")).alias("text"))
+    rows = own.mapInArrow(_features, "doc_id long, quality int, features array<double>").collect()
+    rows.sort(key=lambda r: r.doc_id)
     trees = BoostedTrees(FEATURES.values())
     x = np.array([r.features for r in rows]).reshape(-1, len(FEATURES))
     return trees.fit(x, np.array([r.quality for r in rows], np.float64))

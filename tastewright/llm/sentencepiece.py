@@ -14,7 +14,9 @@ would always prefer many frequent pieces.
 Defined results: null and empty text give no ids. A character that no piece has
 becomes its byte pieces. A literal U+2581 counts as such a character, so decoding
 gives back every text exactly. Repeated rows give equal rows; a model whose
-pieces hold a space after another character is not accepted.
+pieces hold a space after another character is not accepted. Of paths with equal
+scores the one whose last piece is the longest is taken. Very long texts are taken
+whole, one at a time. An empty table gives an empty table.
 """
 
 from __future__ import annotations

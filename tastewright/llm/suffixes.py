@@ -6,22 +6,25 @@ input, so suffixes are thinned first: every start takes as its anchor the place
 of the least 16-byte hash among those inside its string, which equal strings
 share. Starts in a row with one anchor are a *tile*, a suffix with its string.
 
-1. Tiles are range-partitioned by the hash of their leading bytes and of their
-   whole string, at splitters drawn from a sample. A bucket sorts its tiles by
-   several keys and answers each pack of documents: repeated (the same tile in a
-   smaller document), plain (no other tile shares what its starts need), or open.
-   A tile whose leading bytes stand at a splitter is open, as its bucket cannot
-   see what is across the boundary.
+1. Tiles are range-partitioned by the suffix from their anchor on: by its leading
+   16 bytes as they stand, then by a hash of the whole string, at splitters drawn
+   from a sample. A bucket sorts its tiles by multikey quicksort, word by word of
+   eight bytes, where only ties go on to the next word, and answers each pack of
+   documents: repeated (the same tile in a smaller document), plain (no other tile
+   shares what its starts need), or open. A tile whose leading bytes stand at a
+   splitter is open, as its bucket cannot see what is across the boundary.
    A repeated string reaches 17 bytes beyond the anchor's 16 on one side at
    least, so a tile also carries a byte of hash for either side, and only starts
    on a side that another tile shares are open.
 2. Open starts, at the edges of repeats, send their strings alone.
 
 Packs drop their own repeats before they send, so a string that all documents
-share costs each pack one entry. Entries of packs travel as packed arrays.
-Tiles count as equal if 128 bits of hashes are: 64 of the anchor's bytes and 64 of
-the whole string, which alone tell tiles of one anchor apart. Strings of round 2
-count as equal if 96 bits are, all of them of the whole string.
+share costs each pack one entry. Entries of packs travel as packed arrays. Packs
+grow with the square root of the table and buckets are as many as its bytes ask
+for, so that a task holds one bounded bucket whatever the table.
+Tiles count as equal if the anchor's 16 bytes are and 64 bits of hash of the whole
+string, which tell tiles of one anchor apart. Strings of round 2 count as equal if
+96 bits of hash are, all of them of the whole string.
 
 Defined results: null text is empty. Rows of equal id are one document to each
 other: neither loses by the other. A row without an id neither loses nor makes
@@ -43,10 +46,13 @@ from tastewright.llm.common import id_and_text, ranges, slices, stored, stored_b
 
 SPAN, GRAM = 50, 16
 WINDOW = SPAN - GRAM + 1
-PACK_BYTES = 4 << 20
+#: Text of a pack at least and at most, and of a table with packs of the least size.
+PACK_BYTES, MOST_PACK_BYTES, SMALL_TABLE = 4 << 20, 64 << 20, 8 << 30
 BLOCK = 1 << 21  # starts hashed at a time
-BUCKETS_PER_PARTITION = 4
-SAMPLE_PACKS, SAMPLE_TILES = 24, 4000
+#: Text of a bucket at most, and buckets of a shuffle partition at least.
+BUCKET_BYTES, BUCKETS_PER_PARTITION = 64 << 20, 4
+#: Packs and tiles of the sample at least; it has eight tiles a bucket.
+SAMPLE_PACKS, SAMPLE_TILES, TILES_PER_BUCKET = 24, 4000, 8
 SIDE = (SPAN - GRAM) // 2
 PLAIN, REPEATED, OPEN_LEFT, OPEN_RIGHT = 0, 1, 2, 4
 PLACE = np.uint64((1 << 24) - 1)
@@ -65,6 +71,25 @@ def _grams(data: np.ndarray) -> np.ndarray:
     return _mix((word[:n] * A) ^ _mix(word[8 : n + 8] + C))
 
 
+def multikey_order(*words: np.ndarray) -> np.ndarray:
+    """The order of rows by several words, the first one first: quicksort of a word, then of the ties by the next."""
+    order = np.argsort(words[0], kind="stable")
+    group = np.zeros(len(order), np.int64)
+    tied = np.arange(len(order))
+    for k, word in enumerate(words[1:], 1):
+        value = words[k - 1][order[tied]]
+        new = np.ones(len(tied), bool)
+        new[1:] = (value[1:] != value[:-1]) | (group[1:] != group[:-1])
+        number = np.cumsum(new) - 1
+        several = np.bincount(number)[number] > 1
+        tied, group = tied[several], number[several]
+        if not tied.size:
+            break
+        rows = order[tied]
+        order[tied] = rows[np.lexsort((word[rows], group))]
+    return order
+
+
 def _joined(*parts: np.ndarray) -> np.ndarray:
     out = parts[0]
     for part in parts[1:]:
@@ -77,7 +102,7 @@ class Tiles:
 
     def __init__(self, data: np.ndarray, bounds: np.ndarray, doc_ids: np.ndarray, usable: np.ndarray):
         self.data = data
-        lows, highs, anchors, heads, bodies, owners = [], [], [], [], [], []
+        lows, highs, anchors, bodies, owners = [], [], [], [], []
         good = np.flatnonzero(usable & (np.diff(bounds) >= SPAN))
         # Runs of starts, cut so that a block stays within memory.
         first = bounds[good]
@@ -97,7 +122,6 @@ class Tiles:
             new = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
             lo, hi, q = starts[new], starts[np.r_[new[1:] - 1, len(starts) - 1]], anchor[new]
             shape = ((hi - lo) * 64 + (q - lo)).astype(np.uint64)
-            heads.append(grams[q])
             bodies.append(_joined(shape, grams[lo], grams[lo + 16], grams[lo + 32], grams[hi + 2], grams[hi + 18], grams[hi + 34]))
             owners.append(np.repeat(whose, size)[new])
             lows.append(lo + base)
@@ -108,7 +132,9 @@ class Tiles:
         self.doc = doc_ids[whole(owners, np.int64)] if len(doc_ids) else np.zeros(0, np.int64)
         left = self._side(self.anchor - SIDE, self.anchor - self.low >= SIDE)
         right = self._side(self.anchor + GRAM, self.anchor - self.high <= SIDE)
-        self.entries = Entries(whole(heads, np.uint64), whole(bodies, np.uint64), self.doc, left, right)
+        word = np.ndarray((max(0, len(data) - 7),), ">u8", data, strides=(1,))
+        leading = [word[self.anchor + k].astype(np.uint64) for k in (0, 8)]
+        self.entries = Entries(leading, whole(bodies, np.uint64), self.doc, left, right)
 
     def _side(self, place: np.ndarray, within: np.ndarray) -> np.ndarray:
         """One byte of hash, from 1 on, of the bytes beside the anchor; 0 where no start needs them."""
@@ -132,7 +158,7 @@ class Tiles:
         word = np.ndarray((max(0, len(self.data) - 7),), "<u8", self.data, strides=(1,))
         grams = [_mix((word[starts + k] * A) ^ _mix(word[starts + k + 8] + C)) for k in (0, 16, 32, 34)]
         head, body = _joined(*grams), _joined(*grams[::-1])
-        return starts, Entries(head, (body >> np.uint64(32)).astype(np.uint32), self.doc[own])
+        return starts, Entries([head], (body >> np.uint64(32)).astype(np.uint32), self.doc[own])
 
 
 def _blocks(first, count, owner):
@@ -152,16 +178,17 @@ def _blocks(first, count, owner):
 
 
 class Entries:
-    """Strings of a pack by hash keys; each different one is sent once, with its least document."""
+    """Strings of a pack by leading words and hash; each different one is sent once, with its least document."""
 
-    def __init__(self, head: np.ndarray, body: np.ndarray, doc: np.ndarray, *sides: np.ndarray):
-        order = np.lexsort((doc, body, head))
-        head, body = head[order], body[order]
+    def __init__(self, leading: list[np.ndarray], body: np.ndarray, doc: np.ndarray, *sides: np.ndarray):
+        order = multikey_order(*leading, body, doc)
+        keys = [x[order] for x in (*leading, body)]
         new = np.ones(len(order), bool)
-        new[1:] = (head[1:] != head[:-1]) | (body[1:] != body[:-1])
+        new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in keys])
         self.run = np.empty(len(order), np.int64)
         self.run[order] = np.cumsum(new) - 1
-        self.head, self.body, self.least = head[new], body[new], doc[order][new]
+        *self.leading, self.body = (x[new] for x in keys)
+        self.least = doc[order][new]
         self.sides = [x[order][new] for x in sides]
         self.later = doc > self.least[self.run]  # a smaller document of this pack has it
 
@@ -171,11 +198,16 @@ class Entries:
 
     def cuts(self, splitters) -> np.ndarray:
         """Where the buckets begin in the sorted entries."""
-        places = []
-        for head, body in splitters:
-            low, high = np.searchsorted(self.head, head, "left"), np.searchsorted(self.head, head, "right")
-            places.append(low + np.searchsorted(self.body[low:high], body, "right"))
-        return np.array([0, *places, len(self.head)], np.int64)
+        if not len(splitters):
+            return np.array([0, len(self.body)], np.int64)
+        keys = [np.array(x) for x in zip(*splitters)]
+        low, high = np.searchsorted(self.leading[0], keys[0], "left"), np.searchsorted(self.leading[0], keys[0], "right")
+        for k in np.flatnonzero(high > low).tolist():  # further words where the first is a splitter's
+            a, b = int(low[k]), int(high[k])
+            for own, key in zip(self.leading[1:], keys[1:-1]):
+                a, b = a + int(np.searchsorted(own[a:b], key[k], "left")), a + int(np.searchsorted(own[a:b], key[k], "right"))
+            low[k] = a + int(np.searchsorted(self.body[a:b], keys[-1][k], "right"))
+        return np.concatenate([[0], low, [len(self.body)]]).astype(np.int64)
 
 
 def _squeeze(*arrays: np.ndarray) -> bytes:
@@ -199,7 +231,7 @@ PARTS = "bucket int, pack long, n int, blob binary"
 ANSWERS = "pack long, bucket int, n int, answer binary"
 
 
-def _pack_rows(batches):
+def _pack_rows(batches, pack_bytes):
     part, seq = TaskContext.get().partitionId(), 0
     ids, texts, held = [], [], 0
 
@@ -223,7 +255,7 @@ def _pack_rows(batches):
             own = texts_of(piece)
             texts += own
             held += sum(map(len, own))
-            if held >= PACK_BYTES:
+            if held >= pack_bytes:
                 yield flush()
     if ids:
         yield flush()
@@ -248,9 +280,10 @@ def _send(entries: Entries, cuts: np.ndarray, pack: int):
     rows = []
     for bucket, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())):
         if b > a:
-            head, doc = entries.head[a:b], (entries.least[a:b] - low).astype(np.uint64)
+            head, doc = entries.leading[0][a:b], (entries.least[a:b] - low).astype(np.uint64)
             step = np.diff(head, prepend=np.uint64(0))
-            blob = low.to_bytes(8, "little", signed=True) + _squeeze(step, entries.body[a:b], doc, *(x[a:b] for x in entries.sides))
+            more = (*entries.leading[1:], entries.body)
+            blob = low.to_bytes(8, "little", signed=True) + _squeeze(step, *(x[a:b] for x in more), doc, *(x[a:b] for x in entries.sides))
             rows.append({"bucket": bucket, "pack": pack, "n": b - a, "blob": blob})
     return rows
 
@@ -262,20 +295,24 @@ ANSWER_TYPE = pa.schema([("pack", pa.int64()), ("bucket", pa.int32()), ("n", pa.
 def _answer(bucket, packs, sizes, blobs, splitters, tiles: bool):
     """Statuses of all entries of a bucket: sorted by leading bytes, string and document."""
     parts = []
+    words = 2 if tiles else 1  # of leading bytes, or of hash
+    kinds = (*(np.uint64,) * words, np.uint64 if tiles else np.uint32, np.uint64, *(np.uint8, np.uint8) * tiles)
     for n, blob in zip(sizes, blobs):
-        body_type = np.uint64 if tiles else np.uint32
-        step, body, doc, *sides = _spread(blob[8:], n, (np.uint64, body_type, np.uint64, *(np.uint8, np.uint8) * tiles))
-        low = int.from_bytes(blob[:8], "little", signed=True)
-        parts.append((np.cumsum(step, dtype=np.uint64), body, doc.astype(np.int64) + low, *sides))
-    head, body, doc, *sides = (np.concatenate(x) for x in zip(*parts))
-    order = np.lexsort((doc, body, head))
-    h, b, d = head[order], body[order], doc[order]
-    new_head = np.r_[True, h[1:] != h[:-1]]
+        step, *others = _spread(blob[8:], n, kinds)
+        others[words] = others[words].astype(np.int64) + int.from_bytes(blob[:8], "little", signed=True)
+        parts.append((np.cumsum(step, dtype=np.uint64), *others))
+    columns = [np.concatenate(x) for x in zip(*parts)]
+    order = multikey_order(*columns[: words + 2])
+    h, b, d = [x[order] for x in columns[:words]], columns[words][order], columns[words + 1][order]
+    sides = columns[words + 2 :]
+    new_head = np.r_[True, np.logical_or.reduce([x[1:] != x[:-1] for x in h])]
     new = new_head | np.r_[True, b[1:] != b[:-1]]
     runs = np.cumsum(new) - 1
     status = np.where(d > d[np.flatnonzero(new)][runs], REPEATED, PLAIN).astype(np.uint8)
     if tiles:
-        edge = np.isin(h, np.array([x[0] for x in splitters[max(0, bucket - 1) : bucket + 1]], np.uint64))
+        edge = np.zeros(len(order), bool)
+        for first, second, _ in splitters[max(0, bucket - 1) : bucket + 1]:
+            edge |= (h[0] == first) & (h[1] == second)
         group = (np.cumsum(new_head) - 1)[new]
         for side, flag in zip(sides, (OPEN_LEFT, OPEN_RIGHT)):
             value = side[order][new]
@@ -324,23 +361,23 @@ def _read_answers(answers, total: int) -> np.ndarray:
 
 
 def _splitters(packs: DataFrame, buckets: int):
-    """Keys that cut the sampled tiles into equal parts; the sample is bounded."""
+    """Keys that cut the sampled tiles into equal parts: some tiles a bucket, whatever the packs."""
     total = packs.count()
-    every = max(1, total // SAMPLE_PACKS)
+    every = max(1, total // max(SAMPLE_PACKS, -(-TILES_PER_BUCKET * buckets // SAMPLE_TILES)))
 
     def sample(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 found = _tiles(row["blob"], row["n"]).entries
-                step = max(1, len(found.head) // SAMPLE_TILES)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(found.head[step // 2 :: step].view(np.int64)), pa.array(found.body[step // 2 :: step].view(np.int64))],
-                    names=["head", "body"])
+                step = max(1, len(found.body) // SAMPLE_TILES)
+                keys = np.stack([x[step // 2 :: step] for x in (*found.leading, found.body)], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array([keys.tobytes()], pa.binary())], names=["keys"])
 
-    drawn = packs.where(F.pmod(F.xxhash64("pack"), F.lit(every)) == 0).mapInArrow(sample, "head long, body long").collect()
-    keys = sorted((r.head & (1 << 64) - 1, r.body & (1 << 64) - 1) for r in drawn)
-    picked = [keys[k * len(keys) // buckets] for k in range(1, buckets)] if keys else []
-    return [(np.uint64(h), np.uint64(b)) for h, b in sorted(set(picked))]
+    drawn = packs.where(F.pmod(F.xxhash64("pack"), F.lit(every)) == 0).mapInArrow(sample, "keys binary").collect()
+    keys = np.frombuffer(b"".join(r.keys for r in drawn), np.uint64).reshape(-1, 3)
+    keys = keys[multikey_order(*keys.T)] if len(keys) else keys
+    picked = keys[np.arange(1, buckets) * len(keys) // buckets] if len(keys) else keys
+    return [tuple(k) for k in np.unique(picked, axis=0)] if len(picked) else []
 
 
 def _even_splitters(buckets: int):
@@ -354,9 +391,13 @@ KEPT = SCHEMA + ", kept binary"
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = False) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)``, and ``kept`` bytes if asked for."""
     count = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = BUCKETS_PER_PARTITION * count
+    texts = id_and_text(docs, id_col, text_col)
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(BUCKETS_PER_PARTITION * count, -(-size // BUCKET_BYTES))
+    pack_bytes = min(max(PACK_BYTES, int(PACK_BYTES * (size / SMALL_TABLE) ** 0.5)), max(PACK_BYTES, MOST_PACK_BYTES))
     # Hashed by pack once; answers then come to the packs where they are.
-    packs = stored_by(id_and_text(docs, id_col, text_col).mapInArrow(_pack_rows, PACKS), count, "pack")
+    packed = texts.mapInArrow(lambda batches: _pack_rows(batches, pack_bytes), PACKS)
+    packs = stored_by(packed, count, "pack")
     splitters = _splitters(packs, buckets)
 
     def send_tiles(batches):
@@ -374,7 +415,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             for row in batch.to_pylist():
                 tiles = _tiles(row["blob"], row["n"])
-                status = tiles.entries.status(_read_answers(row["first"], len(tiles.entries.head)))
+                status = tiles.entries.status(_read_answers(row["first"], len(tiles.entries.body)))
                 _, entries = tiles.open_starts(status)
                 rows = _send(entries, entries.cuts(even), row["pack"])
                 if rows:
@@ -388,12 +429,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for row in batch.to_pylist():
                 ids, given, bounds, data = _unpack(row["blob"], row["n"])
                 tiles = Tiles(data, bounds, ids, given)
-                status = tiles.entries.status(_read_answers(row["first"], len(tiles.entries.head)))
+                status = tiles.entries.status(_read_answers(row["first"], len(tiles.entries.body)))
                 gone = np.flatnonzero(status == REPEATED)
                 low, high = tiles.low[gone], tiles.high[gone] + SPAN
                 if (status >= OPEN_LEFT).any():
                     starts, entries = tiles.open_starts(status)
-                    again = starts[entries.status(_read_answers(row["second"], len(entries.head))) == REPEATED]
+                    again = starts[entries.status(_read_answers(row["second"], len(entries.body))) == REPEATED]
                     low, high = np.r_[low, again], np.r_[high, again + SPAN]
                 n = len(data)
                 depth = np.cumsum(np.bincount(low, minlength=n + 1) - np.bincount(high, minlength=n + 1))

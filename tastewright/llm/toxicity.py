@@ -8,7 +8,9 @@ gradient is turned round (non-negative estimator).
 
 Defined results: null and empty texts are scored by the bias alone. Without a
 confirmed toxic text every score is 0. Repeated rows give equal rows; repeated
-labels of an id count once, toxic if any is.
+labels of an id count once, toxic if any is. Features that tie go by name, a score
+of one half is predicted toxic. Very long texts are taken whole, one at a time. An
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -126,24 +128,28 @@ def _sample_features(batches):
         for part in slices(batch):
             features = [sorted(features_in(text)) for text in texts_of(part)]
             yield pa.RecordBatch.from_arrays(
-                [part.column("p"), part.column("u"), pa.array(features, pa.list_(pa.string()))], names=["p", "u", "features"])
+                [part.column("doc_id"), part.column("p"), part.column("u"), pa.array(features, pa.list_(pa.string()))],
+                names=["doc_id", "p", "u", "features"])
 
 
-def telling_features(texts: DataFrame, n_p: int, n_u: int) -> DataFrame:
-    """``feature`` with the ``z`` of a two-sample test, the most telling of toxic texts first."""
+def telling_features(texts: DataFrame, n_p: int, n_u: int, most: int = FEATURES) -> DataFrame:
+    """``feature`` with the ``z`` of a two-sample test, the ``most`` telling of toxic texts first."""
     counts = texts.select("p", "u", F.explode("features").alias("feature")).groupBy("feature").agg(
         F.sum(F.col("p").cast("long")).alias("in_p"), F.sum(F.col("u").cast("long")).alias("in_u"))
     both = (F.col("in_p") + F.col("in_u")) / F.lit(n_p + n_u)
     spread = F.sqrt(F.greatest(both * (1 - both), F.lit(1e-12)) * F.lit(1 / n_p + 1 / n_u))
     z = (F.col("in_p") / F.lit(n_p) - F.col("in_u") / F.lit(n_u)) / spread
     telling = counts.where(F.col("in_p") >= LEAST_TEXTS).select("feature", z.alias("z")).where(F.col("z") >= LEAST_Z)
-    return telling.orderBy(F.desc("z"), F.desc("feature")).limit(FEATURES)
+    return telling.orderBy(F.desc("z"), F.desc("feature")).limit(most)
 
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED,
-          id_col: str = "doc_id", text_col: str = "text") -> ToxicModel:
+          id_col: str = "doc_id", text_col: str = "text", features: int = FEATURES) -> ToxicModel:
     """Learn from rows with an id that are not held out: bounded samples, drawn by a hash of the id.
 
+    Of rows with one id a single text is learnt from, the one with the greatest
+    hash. ``features`` bounds the model.
+
     The class prior is the share of toxic ones among the labelled rows. Texts are
     cut into features and counted on the executors; the driver gets the kept
     features and, for each text, which of them it has.
@@ -161,21 +167,24 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     # Some ``positives`` ids, whatever the table's size.
     toxic = known.where((F.col("toxic") == 1) & drawn(positives, sizes.toxic, 1)).select("doc_id", F.lit(True).alias("p"))
     marked = texts.join(F.broadcast(toxic), "doc_id", "left").select(
-        "text", F.col("p").isNotNull().alias("p"), drawn(unlabelled, total, 2).alias("u")).where("p OR u")
-    sample = stored(marked.mapInArrow(_sample_features, "p boolean, u boolean, features array<string>"))
+        "doc_id", "text", F.col("p").isNotNull().alias("p"), drawn(unlabelled, total, 2).alias("u")).where("p OR u")
+    single = marked.groupBy("doc_id", "p", "u").agg(F.max_by("text", F.xxhash64("text")).alias("text"))
+    sample = stored(single.mapInArrow(_sample_features, "doc_id long, p boolean, u boolean, features array<string>"))
     n = sample.agg(*[F.coalesce(F.sum(F.col(c).cast("long")), F.lit(0)).alias(c) for c in "pu"]).first()
     if not n.p or not n.u:
         return ToxicModel.fit([], [], [], 0.0)
-    words = [r.feature for r in telling_features(sample, n.p, n.u).collect()]
+    words = [r.feature for r in telling_features(sample, n.p, n.u, features).collect()]
     place = {w: k for k, w in enumerate(words)}
 
     def places(batches):
         for batch in batches:
             own = [[place[w] for w in text if w in place] for text in batch.column("features").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("p"), batch.column("u"), pa.array(own, pa.list_(pa.int32()))], names=["p", "u", "own"])
+                [batch.column("doc_id"), batch.column("p"), batch.column("u"), pa.array(own, pa.list_(pa.int32()))],
+                names=["doc_id", "p", "u", "own"])
 
-    rows = sample.mapInArrow(places, "p boolean, u boolean, own array<int>").collect()
+    rows = sample.mapInArrow(places, "doc_id long, p boolean, u boolean, own array<int>").collect()
+    rows.sort(key=lambda r: r.doc_id)
     return ToxicModel.fit(
         words, [r.own for r in rows if r.p], [r.own for r in rows if r.u], sizes.toxic / max(1, sizes.n))
 

@@ -31,6 +31,16 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
+def whole_rows(docs: DataFrame, column: str, make: Callable[[str], Callable]) -> DataFrame:
+    """``docs`` through ``mapInArrow`` by ``make(name)``, where ``name`` is what ``column`` is called inside.
+
+    Columns have plain names on the way, as that call takes no other.
+    """
+    plain = [f"c{k}" for k in range(len(docs.columns))]
+    inner = docs.toDF(*plain)
+    return inner.mapInArrow(make(plain[docs.columns.index(column)]), inner.schema).toDF(*docs.columns)
+
+
 def stored(rows: DataFrame) -> DataFrame:
     """``rows`` computed once and kept in the shared checkpoint folder.
 

@@ -15,13 +15,14 @@ pass through or are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tastewright.llm.common import id_and_text, slices, stored, texts_of
+from tastewright.llm.common import id_and_text, slices, stored, texts_of, whole_rows
 
 #: Edits per character of an item.
 ERROR_RATE = 0.06
@@ -214,16 +215,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
 def clean_documents(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
                     text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` in whose text no item is found, unchanged."""
-    def keeper(items):
+    def keeper(items, column):
         def keep(batches):
             matcher = Matcher(items, rate)
             for batch in batches:
-                stays = [not matcher.matches(text) for part in slices(batch, text_col) for text in texts_of(part, text_col)]
+                stays = [not matcher.matches(text) for part in slices(batch, column) for text in texts_of(part, column)]
                 yield batch.filter(pa.array(stays, pa.bool_()))
 
         return keep
 
     for items, several in item_blocks(benchmark, block_bytes=block_bytes):
-        docs = docs.mapInArrow(keeper(items), docs.schema)
+        docs = whole_rows(docs, text_col, partial(keeper, items))
         docs = stored(docs) if several else docs
     return docs

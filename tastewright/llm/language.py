@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tastewright.llm.common import (
-    MEMO_WORDS, SLICE_BYTES, Rows, WordMemo, id_and_text, is_held_out, slices, stored, sums_by_row, texts_of)
+    MEMO_WORDS, SLICE_BYTES, Rows, WordMemo, id_and_text, is_held_out, slices, stored, sums_by_row, texts_of,
+    whole_rows)
 
 ORDER = 5
 #: Texts a language is learnt from, on average; which ones, a hash of the id says.
@@ -337,10 +338,13 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
 def accepted(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not rejected, unchanged."""
-    def keep(batches):
-        scorer = Scorer(model)
-        for batch in batches:
-            for part in slices(batch, text_col, model.share(SLICE_BYTES)):
-                yield part.filter(pa.array(~scorer.predict(texts_of(part, text_col))[3], pa.bool_()))
+    def keeper(text):
+        def keep(batches):
+            scorer = Scorer(model)
+            for batch in batches:
+                for part in slices(batch, text, model.share(SLICE_BYTES)):
+                    yield part.filter(pa.array(~scorer.predict(texts_of(part, text))[3], pa.bool_()))
+
+        return keep
 
-    return docs.mapInArrow(keep, docs.schema)
+    return whole_rows(docs, text_col, keeper)

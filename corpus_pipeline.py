@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tastewright.llm import decontaminate, language, lines, sentencepiece, simhash
-from tastewright.session import written_table
+from tastewright.session import drop_written_table, written_table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,9 +67,18 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs, _ = written_table(stage(spark, docs, sf_dir))
+def run(spark: SparkSession, sf_dir: str, counts: list[tuple[str, int, int]] | None = None) -> DataFrame:
+    """All stages over ``documents``, each written and read again.
+
+    A stage's table goes once the next one is written, the last one when Python
+    ends. ``counts`` collects ``(stage, rows in, rows kept)`` of each stage.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES[:-1]:
+        kept, path = written_table(stage(spark, docs, sf_dir))
+        if counts is not None:
+            counts.append((name, docs.count(), kept.count()))
+        if before:
+            drop_written_table(spark, before)
+        docs, before = kept, path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tastewright.llm import language
+from tastewright.session import written_table
 
 FOLDER = "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -178,3 +179,17 @@ def test_empty_and_odd_tables(spark, name):
     kept.collect()
     assert hashlib.sha256(str(sorted(map(str, kept.collect()))).encode()).hexdigest() == hashlib.sha256(
         str(sorted(map(str, stage(name)(spark, odd.repartition(2), FOLDER).collect()))).encode()).hexdigest()
+
+
+def test_run_counts_and_leaves_one_table(spark, monkeypatch):
+    left = []
+    monkeypatch.setattr(corpus_pipeline, "written_table", lambda rows: left.append(written_table(rows)[1]) or (spark.read.parquet(left[-1]), left[-1]))
+    counts = []
+    encoded = corpus_pipeline.run(spark, "/root/testdata/sf0.001", counts)
+    n = encoded.count()
+    assert [c[0] for c in counts] == [name for name, _ in corpus_pipeline.STAGES[:-1]]
+    assert all(a[2] == b[1] for a, b in zip(counts, counts[1:])) and counts[-1][2] == n < counts[0][1]
+    for path in left[:-1]:
+        with pytest.raises(Exception):
+            spark.read.parquet(path)
+    assert spark.read.parquet(left[-1]).count() == n

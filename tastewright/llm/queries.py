@@ -146,6 +146,44 @@ SELECT doc_id, octet_length(data) AS n_bytes, coalesce(n_removed, 0) AS n_remove
 FROM d JOIN kept USING (r) LEFT JOIN gone USING (r)"""
 
 
+# Equal words of a document at each distance, as islands of neighbours; of runs over
+# one stretch the smallest distance is the period. crc32 is written out bit by bit.
+PERIODIC_RUNS_SQL = r"""WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS own FROM documents),
+c AS (
+  SELECT r, doc_id, own, len(own) AS n, xor(list_reduce(
+    list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(unicode(x) AS BIGINT))),
+    lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)),
+      lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), 4294967295) AS h FROM d),
+g AS (
+  SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n END AS a FROM c),
+h AS MATERIALIZED (SELECT r, doc_id, own, n, a, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM g),
+base AS MATERIALIZED (SELECT r, unnest(own) AS word, generate_subscripts(own, 1) - 1 AS i FROM h),
+w AS MATERIALIZED (
+  SELECT o.r, o.i, n, src.word FROM base o JOIN h ON o.r = h.r
+  JOIN base src ON src.r = o.r AND src.i = CASE WHEN o.i >= a THEN a + (o.i - a) % p ELSE o.i END),
+m AS (
+  SELECT x.r, x.i, y.i - x.i AS q FROM w x JOIN w y ON x.r = y.r AND x.word = y.word
+  WHERE y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+s AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM m),
+t AS (
+  SELECT r, q, min(i) AS start, count(*) + q AS length FROM s GROUP BY r, q, island
+  HAVING count(*) + q >= greatest(6, 4 * q)),
+u AS MATERIALIZED (SELECT r, start, length, min(q) AS period FROM t GROUP BY r, start, length),
+best AS (
+  SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY r ORDER BY length / period DESC, start, period) = 1),
+told AS (
+  SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs
+  FROM u GROUP BY r),
+gone AS (SELECT DISTINCT w.r, i FROM w JOIN u ON w.r = u.r AND i >= start + period AND i < start + length),
+kept AS (
+  SELECT w.r, string_agg(word, ' ' ORDER BY w.i) FILTER (WHERE gone.i IS NULL) AS words
+  FROM w LEFT JOIN gone ON w.r = gone.r AND w.i = gone.i GROUP BY w.r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+  sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(words, '')) AS collapsed_sha256, n AS n_words
+FROM h LEFT JOIN told USING (r) LEFT JOIN best USING (r) LEFT JOIN kept USING (r)"""
+
+
 def queries():
     return {
         "op1_language": op1_language,
@@ -166,4 +204,5 @@ def queries():
 
 
 def oracle_sql():
-    return {"op7_line_dedup": LINE_DEDUP_SQL, "op10_suffix_dedup": SUFFIX_DEDUP_SQL}
+    return {"op7_line_dedup": LINE_DEDUP_SQL, "op10_suffix_dedup": SUFFIX_DEDUP_SQL,
+            "op12_periodic_runs": PERIODIC_RUNS_SQL}

@@ -48,7 +48,7 @@ ALPHABETS = [re.compile(rb"[" + letters + rb"]+") for letters in (
 #: Where a name's words meet.
 HUMP, SEAM = re.compile(rb"(?<=[a-z])(?=[A-Z])"), re.compile(rb"[+/_=-]+")
 #: Names in text: words joined by underscores or humps, or before a sign of assignment or call.
-NAME = re.compile(rb"[A-Za-z]+(?:_[A-Za-z]+)+|[a-z]+(?:[A-Z][a-z]+)+|[A-Za-z]{3,}(?=\x20?[:=(])")
+NAME = re.compile(rb"(?<![A-Za-z_])(?:[A-Za-z]++(?:_[A-Za-z]++)++|[a-z]++(?:[A-Z][a-z]++)++|[A-Za-z]{3,}+(?=\x20?[:=(]))")
 #: Different names a task counts before it hands them on, and those the dictionary holds.
 NAMES_HELD, DICTIONARY = 50_000, 2000
 

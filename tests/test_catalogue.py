@@ -74,6 +74,22 @@ def test_search_many(spark):
         assert found == expected(hits)
 
 
+def test_search_many_broadcasts_no_titles(spark):
+    """The titles cut to each length look small by the files' size, but are many."""
+    items = [(i, f"{'abc'[i % 3]}{i % 97} title {i}") for i in range(2000)]
+    texts = ["a1", "B2", "c", "none"]
+    result = search_many(
+        spark.createDataFrame(items, ITEM), spark.createDataFrame([(t,) for t in texts], "prefix string")
+    )
+    rows = result.collect()
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [start" not in plan
+    for text in texts:
+        hits = [r for r in items if r[1].lower().startswith(text.lower())]
+        found = sorted(tuple(r)[1:] for r in rows if r.prefix == text)
+        assert found == expected(hits)
+
+
 WORDS = ["red ring", "Redwood", "blue", "ÄB one", "aRED", "100% x", "r", "", "red", "RED\U0010ffff", "red\U0010ffff\U0010ffffx", "re", "rf"]
 
 

@@ -57,3 +57,35 @@ def test_missing_lists(spark, world):
     expected = plain_lists(model, stats, items, new, new, 3, 6)
     found = judged(expected.where("user_id <> 4"), expected.where("user_id <> 5"))
     assert found[4] == (0, False) and found[5] == (6, False) and found[6] == (6, True)
+
+
+def test_plain_lists_in_groups(spark, world, monkeypatch):
+    """Pairs are scored inside groups of users and items, never shuffled as rows,
+    and the lists are those of scoring every pair and ranking them all."""
+    import numpy as np
+
+    from tastewright.plans import checking
+
+    model, stats, items, new = world
+    monkeypatch.setattr(checking, "USERS_PER_BLOCK", 4)
+    monkeypatch.setattr(checking, "ITEMS_PER_BLOCK", 7)
+    found = plain_lists(model, stats, items, new, new, 3, 6, 2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan and "CartesianProduct" not in plan
+
+    w = {r.id: r.features for r in model.user_factors.collect()}
+    v = {r.id: r.features for r in model.item_factors.collect()}
+    n = {r.item_id: r.n_ratings for r in stats.collect()}
+    rows = [(r.item_id, r.title) for r in items.collect()]
+    rated = {(r.user_id, r.item_id) for r in new.collect()}
+    expected = set()
+    for u in {r.user_id for r in new.collect()} & w.keys():
+        pool = []
+        for i, _ in rows:
+            if i in v and (u, i) not in rated and n.get(i, 0) >= 3:
+                p = float(np.float32(sum(float(np.float32(a)) * float(np.float32(b)) for a, b in zip(w[u], v[i]))))
+                pool += [(-p, i, t) for j, t in rows if j == i]
+        for rank, (p, i, t) in enumerate(sorted(pool)[:6], 1):
+            expected.add((u, rank, i, t, n[i], -p))
+    got = {(r.user_id, r.rank, r.item_id, r.title, r.n_ratings, float(r.prediction)) for r in found.collect()}
+    assert got == expected

@@ -89,3 +89,13 @@ def test_plain_lists_in_groups(spark, world, monkeypatch):
             expected.add((u, rank, i, t, n[i], -p))
     got = {(r.user_id, r.rank, r.item_id, r.title, r.n_ratings, float(r.prediction)) for r in found.collect()}
     assert got == expected
+
+
+def test_plain_lists_shuffle_statistics_once(spark, world):
+    """The items are counted and then scored from one stored copy, not computed twice."""
+    model, _, items, new = world
+    ratings = spark.createDataFrame([(100 + u, i, 3.0) for i in range(60) for u in range(i % 9)], RATING)
+    expected = plain_lists(model, item_stats(ratings), items, new, new, 3, 6)
+    assert "InMemoryRelation" in expected._jdf.queryExecution().optimizedPlan().toString()
+    listed = recommend_many(model, item_stats(ratings), items, new, 3, 6)
+    assert judged(listed, expected) == {u: (6, True) for u in range(25)}

@@ -32,3 +32,10 @@ def test_invariant_makes_the_ratings_once(spark, monkeypatch, solver):
     rows = driver._invariant(spark, "unused", solver).collect()
     assert len(rows) == 50 and made.value == N
 
+
+def test_score_coverage_makes_the_ratings_once(spark, monkeypatch):
+    ratings, made = counted_ratings(spark)
+    monkeypatch.setattr(driver, "ratings_table", lambda spark, folder: ratings)
+    rows = driver.score_coverage_query(spark, "unused").collect()
+    assert len(rows) == N + len(driver.SESSION) and made.value == N
+

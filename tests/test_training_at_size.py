@@ -24,6 +24,28 @@ def distance(a, b):
     return max(abs(a[k] - b[k]).max() for k in a)
 
 
+def test_no_block_too_large_is_given_to_the_library(spark, monkeypatch):
+    ratings = rows_of(spark)
+    library = train(ratings, iterations=3)
+    fitted = []
+    fit = training.ALS.fit
+    monkeypatch.setattr(training, "RATINGS_PER_BLOCK", 10)
+    monkeypatch.setattr(training.ALS, "fit", lambda self, rows: fitted.append(rows.count()) or fit(self, rows))
+    model = train(ratings, iterations=3)
+    assert model.solver == "blocks" and fitted == [60]  # one row a user, for the start
+    assert model.user_factors.dtypes == library.user_factors.dtypes == [("id", "int"), ("features", "array<float>")]
+    assert distance(factors(model.user_factors), factors(library.user_factors)) < 1e-5
+    assert distance(factors(model.item_factors), factors(library.item_factors)) < 1e-5
+    assert distance(factors(model.item_factors), factors(train(ratings, iterations=3, seed=6, solver="joins").item_factors)) > 1e-3
+
+
+@pytest.mark.parametrize("row", [(None, 2, 1.0), (2, None, 1.0), (2, 2, None), (2, 2, float("nan"))])
+def test_rows_the_library_rejects(spark, monkeypatch, row):
+    monkeypatch.setattr(training, "RATINGS_PER_BLOCK", 10)
+    with pytest.raises(Exception, match="(?i)must not be null"):
+        train(rows_of(spark).union(spark.createDataFrame([row], RATING)), iterations=1)
+
+
 def test_null_ids_are_in_no_pair(spark):
     odd = spark.createDataFrame([(None, 2, 1.0), (2, None, 5.0), (None, None, 5.0), (77, None, 1.0)], RATING)
     plain = train(rows_of(spark), iterations=2, solver="joins")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tastewright.operators import fit_residuals, join_training, train, training
+from tastewright.operators import fit_residuals, join_training, score, scoring, train, training
 from tastewright.schemas import RATING
 
 
@@ -86,3 +86,14 @@ def test_residuals_in_passes(spark, monkeypatch):
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
     parts = found.collect()
     assert {r.user_id: r.residual for r in parts} == pytest.approx(whole, abs=1e-9) and len(parts) == len(whole) == 60
+
+
+def test_scores_in_passes(spark, monkeypatch):
+    model = train(rows_of(spark), iterations=2)
+    pairs = rows_of(spark).select("user_id", "item_id").union(
+        spark.createDataFrame([(1, 999), (999, 1), (None, 1), (1, None)], "user_id int, item_id int"))
+    whole = score(model, pairs).collect()
+    monkeypatch.setattr(scoring, "PAIRS_PER_PASS", 300)
+    found = score(model, pairs)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(found.collect()) == sorted(whole) and len(whole) == 1603
